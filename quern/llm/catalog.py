@@ -15,6 +15,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import count_tokens
 
@@ -29,6 +41,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_ids(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pfor import ids_file
 
@@ -37,8 +55,11 @@ def op8_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
+        "op2_interleaved_media": op2_interleaved_media,
         "op5_token_counts": op5_token_counts,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_pii": op7_pii,
         "op8_id_blocks": op8_id_blocks,
     }
 

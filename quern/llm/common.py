@@ -42,7 +42,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
