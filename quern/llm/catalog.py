@@ -27,6 +27,12 @@ def op2_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_copies
+
+    return find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import count_tokens
 
@@ -53,14 +59,23 @@ def op8_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_file(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
         "op2_interleaved_media": op2_interleaved_media,
+        "op3_benchmark_copies": op3_benchmark_copies,
         "op5_token_counts": op5_token_counts,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_pii": op7_pii,
         "op8_id_blocks": op8_id_blocks,
+        "op9_quality": op9_quality,
     }
 
 
