@@ -33,6 +33,12 @@ def op3_benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import count_tokens
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_main_text": op1_main_text,
         "op2_interleaved_media": op2_interleaved_media,
         "op3_benchmark_copies": op3_benchmark_copies,
+        "op4_licences": op4_licences,
         "op5_token_counts": op5_token_counts,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_pii": op7_pii,
