@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm import bpe, decontaminate, neardup, pii, quality
 from quern.llm.common import table, written
 
-STAGES: list = []
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from the labels that are not held out, does not reject."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy, edited or not, of a test item."""
+    return decontaminate.drop_copies(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind, and n_chars counted anew."""
+    return pii.redact_texts(docs)
+
+
+def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded bytes of every document."""
+    return bpe.encode_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("near_duplicates", distinct_documents),
+    ("decontamination", uncontaminated_documents),
+    ("personal_data", redacted_documents),
+    ("byte_bpe", encoded_documents),
+]
 
 #: The stages learn, align and encode; SQL cannot express them. tests/llm compares each with a brute-force version.
 ORACLE_SQL = None
