@@ -86,6 +86,19 @@ class Splitter:
         return [t for p in parts[::2] for t in self.find(p)], parts[1::2]
 
 
+class Memo(dict):
+    """What ``make`` gives for a pre-token, kept for the first MEMO short ones and made anew each time for the others."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, token: str):
+        made = self.make(token)
+        if len(self) < MEMO and len(token) <= 64:
+            self[token] = made
+        return made
+
+
 _made: dict = {}
 
 
@@ -114,21 +127,16 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
         import public_tokenizers
 
         spec = json.loads(model.value)
-        return PairMerger(spec["model"]), Splitter(public_tokenizers.PATTERN, [x["content"] for x in spec["added_tokens"]]), {}
+        merger = PairMerger(spec["model"])
+        split = Splitter(public_tokenizers.PATTERN, [x["content"] for x in spec["added_tokens"]])
+        return split, Memo(lambda t: merger.count(t.encode("utf-8"))).__getitem__
 
     def rows_of(columns):
-        merger, split, memo = once(("count", vocabulary), make)
+        split, count = once(("count", vocabulary), make)
         rows = []
         for key, text in zip(*columns):
             tokens, special = split(text)
-            n = len(special)
-            for t in tokens:
-                c = memo.get(t)
-                if c is None:
-                    c = merger.count(t.encode("utf-8"))
-                    if len(memo) < MEMO and len(t) <= 64:
-                        memo[t] = c
-                n += c
+            n = len(special) + sum(map(count, tokens))
             rows.append((key, len(text.encode("utf-8")), n, n > limit))
         return rows
 
@@ -250,19 +258,15 @@ def encode_ids(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False
     with open(ranks, "rb") as f:
         made = spark.sparkContext.broadcast(RankCodec.read(f.read()))  # as large as the vocabulary, whatever the input
 
+    def make():
+        codec = made.value
+        return codec, Splitter(pattern), Memo(lambda t: array("I", codec.encode(t.encode("utf-8"))).tobytes()).__getitem__
+
     def rows_of(columns):
-        codec, split, memo = once(("ranks", ranks, pattern), lambda: (made.value, Splitter(pattern), {}))
+        codec, split, ids_of = once(("ranks", ranks, pattern), make)
         rows = []
         for key, text in zip(*columns):
-            parts = []
-            for t in split.find(text):
-                p = memo.get(t)
-                if p is None:
-                    p = array("I", codec.encode(t.encode("utf-8"))).tobytes()
-                    if len(memo) < MEMO and len(t) <= 64:
-                        memo[t] = p
-                parts.append(p)
-            ids = b"".join(parts)
+            ids = b"".join(map(ids_of, split.find(text)))
             decoded = codec.decode(memoryview(ids).cast("I"))
             row = (key, len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded).hexdigest())
             rows.append((*row, ids) if with_ids else row)

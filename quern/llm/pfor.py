@@ -8,8 +8,8 @@ a Parquet table, so that writing them needs no more than Spark's own file access
 
 from __future__ import annotations
 
-import os
 import struct
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, Splitter, once
-from .common import SLICE_CHARS, whole_texts, written
+from .bpe import Memo, Splitter, byte_alphabet, once
+from .common import whole_texts, written
 
 BLOCK = 128
 MAGIC = b"QPF1"
@@ -124,30 +124,28 @@ class LibraryCodec:
 
         import public_tokenizers
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        model = Tokenizer.from_str(spec).model
+        shown = dict(enumerate(byte_alphabet()))
         self.special = {x["content"]: np.uint32(x["id"]).tobytes() for x in json.loads(spec)["added_tokens"]}
         self.split = Splitter(public_tokenizers.PATTERN, list(self.special))
-        self.memo: dict[str, bytes] = {}
+
+        def ids_of(piece: str) -> bytes:
+            if piece in self.special:
+                return self.special[piece]
+            return array("I", [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(shown))]).tobytes()
+
+        self.ids_of = Memo(ids_of).__getitem__
 
     def pieces(self, text: str) -> list[str]:
         if self.special and any(s in text for s in self.special):
             return [t for k, p in enumerate(self.split.cut(text)) for t in ([p] if k % 2 else self.split.find(p))]
         return self.split.find(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        memo = self.memo
-        unknown = list({p for pieces in cut for p in pieces if p not in memo})
-        found = self.tokenizer.encode_batch(unknown, add_special_tokens=False)
-        now = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(unknown, found)}
-        out = [b"".join([memo[p] if p in memo else now[p] for p in pieces]) for pieces in cut]
-        if len(memo) < MEMO:
-            memo.update((p, b) for p, b in now.items() if len(p) <= 64)
-        return out
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
+        return b"".join(map(self.ids_of, self.pieces(text)))
 
 
 def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 0, percentile: float = 0.9) -> DataFrame:
@@ -177,24 +175,16 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 0, percentile: flo
             data = segment(keys, [len(h) // 4 for h in held], ids, percentile)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "part_start": pa.array([done], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        def slices(batch):
-            start, chars = 0, 0
-            for i, text in enumerate(batch.column(1)):
-                chars += len(text.as_py())
-                if chars >= SLICE_CHARS or i == batch.num_rows - 1:
-                    yield batch.slice(start, i + 1 - start)
-                    start, chars = i + 1, 0
-
         for batch in batches:
-            for piece in slices(batch):
-                for key, data in zip(piece.column(0).to_pylist(), codec.encode(piece.column(1).to_pylist())):
-                    keys.append(key)
-                    held.append(data + end)
-                    size += len(data) // 4 + 1
-                    if size >= SEGMENT_IDS:
-                        yield close()
-                        seg, done = seg + 1, done + size
-                        keys, held, size = [], [], 0
+            for key, text in zip(batch.column(0), batch.column(1)):
+                data = codec.encode(text.as_py())
+                keys.append(key.as_py())
+                held.append(data + end)
+                size += len(data) // 4 + 1
+                if size >= SEGMENT_IDS:
+                    yield close()
+                    seg, done = seg + 1, done + size
+                    keys, held, size = [], [], 0
         if keys:
             yield close()
 
