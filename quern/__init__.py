@@ -1,0 +1,14 @@
+"""Quern: declared entities and stores whose operations are lazy Spark DataFrames."""
+
+from .errors import ConcurrencyConflict, DefinitionError, FilterValueMissing, QuernError, StoreError
+from .functions.filters import GlobalFilter, filter_scope
+from .functions.predicates import Compare, Where
+from .plans.store import Store
+from .sources.entity import AdHoc, BelongsTo, Column, Converter, Entity, HasMany, ManyToMany, Projection
+from .sources.snapshots import SnapshotTables
+from .sources.tables import FrameTables, ParquetTables
+
+__all__ = [
+    "AdHoc", "BelongsTo", "Column", "Compare", "ConcurrencyConflict", "Converter", "DefinitionError", "Entity", "FilterValueMissing", "FrameTables",
+    "GlobalFilter", "HasMany", "ManyToMany", "ParquetTables", "Projection", "QuernError", "SnapshotTables", "Store", "StoreError", "Where", "filter_scope",
+]

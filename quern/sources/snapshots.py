@@ -1,0 +1,186 @@
+"""Tables that can change: versions of lists of Parquet files, with transactions and savepoints.
+
+A version is one small JSON file in ``root/_log`` that names, for every table, the Parquet files it consists of. A write
+adds files, or rewrites only those files that hold touched rows, and commits by creating the next version's file, which
+fails if another writer has created it first. All access goes through Hadoop's file system, so any store that Spark
+reads will do; data written by lost or failed attempts is never named by a version. Readers of a version see it whole.
+"""
+
+from __future__ import annotations
+
+import contextlib
+import copy
+import json
+import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..errors import ConcurrencyConflict, StoreError
+from .entity import Entity
+from .tables import declared
+
+_open: ContextVar = ContextVar("quern_transaction", default=None)
+
+
+class Transaction:
+    """Changes that become one version together; savepoints undo the later part of them."""
+
+    def __init__(self, tables: SnapshotTables):
+        self.tables, self.base, self.state, self.closed = tables, *tables.latest(), False
+        self.changed = False
+
+    def _check(self) -> None:
+        if self.closed:
+            raise StoreError("the transaction is closed")
+
+    @contextlib.contextmanager
+    def savepoint(self) -> Iterator[None]:
+        """An error in this block undoes what the block did and is raised again."""
+        self._check()
+        kept = copy.deepcopy(self.state), self.changed
+        try:
+            yield
+        except BaseException:
+            self.state, self.changed = kept
+            raise
+
+    def commit(self) -> None:
+        self._check()
+        self.closed = True
+        if self.changed:
+            self.tables._publish(self.base + 1, self.state)
+
+    def rollback(self) -> None:
+        self._check()
+        self.closed = True
+
+
+class SnapshotTables:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(f"{self.root}/_log"))
+
+    # versions
+
+    def latest(self) -> tuple[int, dict]:
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/_log"))]
+        versions = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit()]
+        return (max(versions), self.version(max(versions))) if versions else (0, {})
+
+    def version(self, n: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/_log/{n:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, n: int, state: dict) -> None:
+        """Create version ``n`` if nobody has; the file is written aside and renamed, so it is never seen half-written."""
+        aside = self._path(f"{self.root}/_log/.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(aside)
+        out.write(bytearray(json.dumps(state).encode("utf-8")))
+        out.close()
+        target = self._path(f"{self.root}/_log/{n:012d}.json")
+        if self._fs.exists(target) or not self._fs.rename(aside, target):
+            self._fs.delete(aside, False)
+            raise ConcurrencyConflict(f"version {n} has been committed by another writer")
+
+    @contextlib.contextmanager
+    def transaction(self) -> Iterator[Transaction]:
+        """Commits at the end of the block, or rolls back on an error; within another one it is a savepoint."""
+        outer = _open.get()
+        if outer is not None and outer.tables is self:
+            with outer.savepoint():
+                yield outer
+            return
+        tx = Transaction(self)
+        mark = _open.set(tx)
+        try:
+            yield tx
+            if not tx.closed:
+                tx.commit()
+        except BaseException:
+            if not tx.closed:
+                tx.rollback()
+            raise
+        finally:
+            _open.reset(mark)
+
+    def _current(self) -> Transaction | None:
+        tx = _open.get()
+        if tx is None or tx.tables is not self:
+            return None
+        tx._check()
+        return tx
+
+    def _state(self) -> dict:
+        tx = self._current()
+        return tx.state if tx else self.latest()[1]
+
+    # data
+
+    def create(self, entity: type[Entity], rows: DataFrame) -> None:
+        """Make the table from ``rows``, replacing what it held."""
+        rows = rows.select(*[F.col(c.name).cast(c.spark_type).alias(c.name) for c in entity.columns.values()])
+        files = self._write(entity, rows)
+        self._set(entity, rows.schema, files)
+
+    def frame(self, entity: type[Entity], version: int | None = None) -> DataFrame:
+        state = self._state() if version is None else self.version(version)
+        if entity.table not in state:
+            raise StoreError(f"no table {entity.table}")
+        return declared(self._read(state[entity.table]), entity)
+
+    def append(self, entity: type[Entity], rows: DataFrame) -> None:
+        """Add rows: new files only, whatever the table's size."""
+        entry = self._state()[entity.table]
+        schema = StructType.fromJson(entry["schema"])
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+        self._set(entity, schema, [*entry["files"], *self._write(entity, rows)])
+
+    def rewrite(self, entity: type[Entity], touched: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the files that hold rows of ``touched(table)`` by ``change(their rows)``; others stay as they are.
+
+        What is collected is file names, bounded by the table's files.
+        """
+        entry = self._state()[entity.table]
+        schema = StructType.fromJson(entry["schema"])
+        located = self._read(entry).withColumn("__file", F.col("_metadata.file_name"))
+        names = {r[0] for r in touched(located).select("__file").distinct().collect()}
+        if not names:
+            return
+        old = [f for f in entry["files"] if f.rsplit("/", 1)[1] in names]
+        rows = change(self._read({"schema": entry["schema"], "files": old}))
+        new = self._write(entity, rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]))
+        self._set(entity, schema, [f for f in entry["files"] if f not in set(old)] + new)
+
+    def _read(self, entry: dict) -> DataFrame:
+        schema = StructType.fromJson(entry["schema"])
+        if not entry["files"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in entry["files"]])
+
+    def _write(self, entity: type[Entity], rows: DataFrame) -> list[str]:
+        folder = f"{entity.table}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        found = self._fs.listStatus(self._path(f"{self.root}/{folder}"))
+        return [f"{folder}/{s.getPath().getName()}" for s in found if s.getPath().getName().startswith("part-")]
+
+    def _set(self, entity: type[Entity], schema: StructType, files: list[str]) -> None:
+        def put(tx: Transaction) -> None:
+            tx.state[entity.table] = {"schema": json.loads(schema.json()), "files": files}
+            tx.changed = True
+
+        tx = self._current()
+        if tx:
+            put(tx)
+        else:
+            with self.transaction() as own:
+                put(own)
