@@ -125,7 +125,7 @@ class TenantCustomer(Entity, table="customer"):
 
 
 class NullableOrder(Entity, table="nullable_orders"):
-    """Orders whose customer is null where the key divides by seven, and whose price is null for open ones."""
+    """Orders without a customer where their priority is medium, and without a price while they are open."""
 
     o_orderkey = Column("long", key=True)
     o_custkey = Column("long")
@@ -153,7 +153,7 @@ class CustomerOrderStatus(Projection, entity=Order, fields=("o_orderstatus", "o_
 
 
 SOFT = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus = 'F' AS o_deleted, o_orderpriority <> '1-URGENT' AS o_open, CAST(o_custkey % 5 AS INT) AS o_version FROM orders"
-NULLS = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders"
+NULLS = "SELECT o_orderkey, CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders"
 
 
 class Orders(s.Store, entity=Order):
@@ -256,7 +256,7 @@ def _soft(spark: SparkSession, d: str) -> FrameTables:
 
 def _nulls(spark: SparkSession, d: str) -> FrameTables:
     o = ParquetTables(spark, d).frame(Order)
-    made = o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"), F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice")).alias("o_totalprice"))
+    made = o.select("o_orderkey", F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_custkey")).alias("o_custkey"), F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice")).alias("o_totalprice"))
     return FrameTables(spark, {"nullable_orders": made})
 
 
@@ -384,28 +384,28 @@ def _a_regions(sp, d):
 query("q60_children_of", f"SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey IN ({PARENTS})")(lambda sp, d: relations.children_of(ParquetTables(sp, d).frame, _a_regions(sp, d), Region, Region.relations["nations"]))
 query("q61_parent_of", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = 77)")(lambda sp, d: relations.parent_of(ParquetTables(sp, d).frame, _orders(sp, d).one(77), Order.relations["customer"]))
 query("q62_linked_of_one", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_orderkey = 77")(lambda sp, d: OrdersWithParts(ParquetTables(sp, d)).parts_of(77))
-query("q63_linked_of_many", "SELECT l_orderkey AS parent, p_partkey, p_name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey < 30)")(lambda sp, d: relations.linked_rows(ParquetTables(sp, d).frame, ParquetTables(sp, d).frame(Order).where("o_custkey < 30").select("o_orderkey", "o_orderpriority"), OrderParts, OrderParts.relations["parts"]).select(F.col("__parent").alias("parent"), "p_partkey", "p_name"))
+query("q63_linked_of_many", "SELECT l_orderkey AS parent, p_partkey, p_name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH')")(lambda sp, d: relations.linked_rows(ParquetTables(sp, d).frame, ParquetTables(sp, d).frame(OrderParts).where("o_orderpriority = '2-HIGH'"), OrderParts, OrderParts.relations["parts"]).select(F.col("__parent").alias("parent"), "p_partkey", "p_name"))
 
 
 class Said(Entity, table="said", view=True):
-    s_source = Column("string")
+    s_role = Column("string")
     s_conv = Column("long")
     s_turn = Column("long")
 
 
-class Source(Entity, table="sources"):
-    source = Column("string", key=True)
-    turns = ManyToMany(Turn, junction=Said, parent_key="s_source", child_keys=("s_conv", "s_turn"))
+class Role(Entity, table="roles"):
+    role = Column("string", key=True)
+    turns = ManyToMany(Turn, junction=Said, parent_key="s_role", child_keys=("s_conv", "s_turn"))
 
 
-@query("q64_composite_child_key", "SELECT 'src' || (conv_id % 20) AS parent, conv_id, turn, role FROM conversations WHERE turn < 2 AND conv_id % 20 < 5")
+@query("q64_composite_child_key", "SELECT role AS parent, conv_id, turn, length(text) AS n_chars FROM conversations")
 def composite_child(spark, d):
-    """A junction made from the conversations, to children with a key of two columns."""
+    """A junction made from the conversations, from who speaks to children with a key of two columns."""
     turns = ParquetTables(spark, d).frame(Turn)
-    name = F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))
-    frames = {"conversations": turns, "said": turns.where("turn < 2").select(name.alias("s_source"), F.col("conv_id").alias("s_conv"), F.col("turn").alias("s_turn")), "sources": spark.createDataFrame([(f"src{i}",) for i in range(5)], "source string")}
+    frames = {"conversations": turns, "said": turns.select("role", "conv_id", "turn").toDF("s_role", "s_conv", "s_turn"), "roles": turns.select("role").distinct()}
     tables = FrameTables(spark, frames)
-    return relations.linked_rows(tables.frame, tables.frame(Source), Source, Source.relations["turns"]).select(F.col("__parent").alias("parent"), "conv_id", "turn", "role")
+    rows = relations.linked_rows(tables.frame, tables.frame(Role), Role, Role.relations["turns"])
+    return rows.select(F.col("__parent").alias("parent"), "conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
 
 
 query("q65_junction_rows", "SELECT l_orderkey AS parent, l_partkey AS child FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH') AND l_partkey IN (SELECT p_partkey FROM part)")(lambda sp, d: relations.junction_rows(ParquetTables(sp, d).frame, ParquetTables(sp, d).frame(OrderParts).where("o_orderpriority = '2-HIGH'"), OrderParts, OrderParts.relations["parts"]).select(F.col("__parent").alias("parent"), F.col("__child_0").alias("child")))
@@ -429,10 +429,10 @@ class Author(Entity, table="soft_customers"):
     orders = HasMany(SoftOrder, "o_custkey")
 
 
-@query("q75_eager_deleted_parents", f"SELECT c_custkey, c_custkey % 4 = 0 AS c_deleted, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM ({SOFT}) WHERE NOT o_deleted AND o_open) ON o_custkey = c_custkey GROUP BY 1, 2")
+@query("q75_eager_deleted_parents", f"SELECT c_custkey, c_mktsegment = 'FURNITURE' AS c_deleted, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM ({SOFT}) WHERE NOT o_deleted AND o_open) ON o_custkey = c_custkey GROUP BY 1, 2")
 def eager_deleted_parents(spark, d):
     """Deleted parents are shown, their children keep their own filters."""
-    frames = _soft(spark, d).frames | {"soft_customers": ParquetTables(spark, d).frame(Customer).select("c_custkey", (F.col("c_custkey") % 4 == 0).alias("c_deleted"))}
+    frames = _soft(spark, d).frames | {"soft_customers": ParquetTables(spark, d).frame(Customer).select("c_custkey", (F.col("c_mktsegment") == "FURNITURE").alias("c_deleted"))}
     tables = FrameTables(spark, frames)
     parents = relations.active_rows(tables.frame, Author, include_deleted=True)
     return relations.eager(tables.frame, parents, Author, ("orders",)).select("c_custkey", "c_deleted", F.size("orders").cast("long").alias("n"))
@@ -440,12 +440,12 @@ def eager_deleted_parents(spark, d):
 
 # writes: the table's state afterwards
 
-NEW = "(SELECT o_orderkey + 1000000 AS o_orderkey, o_custkey, o_totalprice, o_orderpriority, false AS o_deleted, true AS o_open, 0 AS o_version FROM orders WHERE o_orderkey < 50)"
+NEW = "(SELECT o_orderkey + 1000000000 AS o_orderkey, o_custkey, o_totalprice, o_orderpriority, false AS o_deleted, true AS o_open, 0 AS o_version FROM orders WHERE o_orderstatus = 'P')"
 
 
 def _new(spark, d):
-    rows = ParquetTables(spark, d).frame(Order).where("o_orderkey < 50")
-    given = rows.select((F.col("o_orderkey") + 1000000).alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority", F.lit(True).alias("o_open"))
+    rows = ParquetTables(spark, d).frame(Order).where("o_orderstatus = 'P'")
+    given = rows.select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority", F.lit(True).alias("o_open"))
     return writes.stamped(SoftOrder, given, NOW, None, True)
 
 
@@ -454,21 +454,21 @@ query("q81_inserted_rows", f"SELECT {S_COLS} FROM {NEW}")(lambda sp, d: _new(sp,
 query("q83_bulk_insert", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer UNION ALL SELECT s_suppkey + 5000000, s_name, s_nationkey, s_acctbal FROM supplier")(lambda sp, d: writes.insert(ParquetTables(sp, d).frame(TenantCustomer), sp.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 5000000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))))
 
 
-@query("q84_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new ' || c_custkey ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 1.5 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer UNION ALL SELECT c_custkey + 9000000, 'new ' || (c_custkey + 9000000), c_nationkey, 1.5, c_mktsegment FROM customer WHERE c_custkey < 20")
+@query("q84_upsert", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new ' || c_custkey ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.5 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer UNION ALL SELECT s_suppkey + 9000000000, 'new ' || (s_suppkey + 9000000000), s_nationkey, 1.5, 'SUPPLIER' FROM supplier")
 def upsert(spark, d):
     state = ParquetTables(spark, d).frame(Customer)
-    fresh = state.where("c_custkey < 20").withColumn("c_custkey", F.col("c_custkey") + 9000000)
-    given = state.where("c_custkey % 3 = 0").unionByName(fresh).withColumn("c_name", F.concat(F.lit("new "), F.col("c_custkey").cast("string"))).withColumn("c_acctbal", F.lit(1.5))
+    fresh = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 9000000000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"), F.lit("SUPPLIER").alias("c_mktsegment"))
+    given = state.where("c_mktsegment = 'BUILDING'").unionByName(fresh).withColumn("c_name", F.concat(F.lit("new "), F.col("c_custkey").cast("string"))).withColumn("c_acctbal", F.lit(1.5))
     return writes.upsert_rows(Customer, state, given)
 
 
 query("q90_update_by_key", f"SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = 77 AND o_version = o_custkey % 5 THEN 1.0 ELSE o_totalprice END AS o_totalprice, o_orderpriority, o_deleted, o_open, CASE WHEN o_orderkey = 77 THEN o_version + 1 ELSE o_version END AS o_version FROM ({SOFT})")(lambda sp, d: writes.update_where(SoftOrder, _state(sp, d), reads.key_condition(SoftOrder, (77,)), {"o_totalprice": F.lit(1.0)}, NOW, None))
 
 
-@query("q91_update_all", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || c_custkey ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query("q91_update_all", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN upper(c_mktsegment) || c_custkey ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def update_all(spark, d):
     state = ParquetTables(spark, d).frame(Customer)
-    given = state.where("c_custkey % 2 = 0").select("c_custkey", F.concat(F.upper("c_mktsegment"), F.col("c_custkey").cast("string")).alias("c_name"))
+    given = state.where("c_acctbal > 0").select("c_custkey", F.concat(F.upper("c_mktsegment"), F.col("c_custkey").cast("string")).alias("c_name"))
     return writes.update_rows(Customer, state, given)
 
 
@@ -493,7 +493,7 @@ def delete_enforced(spark, d):
 
 
 query("q97_restore_by_key", f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_deleted AND o_orderkey <> 1 AS o_deleted, o_open, o_version FROM ({SOFT})")(lambda sp, d: _state(sp, d).withColumn("o_deleted", F.when(reads.key_condition(SoftOrder, (1,)), writes.restoration(SoftOrder)["o_deleted"]).otherwise(F.col("o_deleted"))))
-query("q98_optimistic_token", f"SELECT {S_COLS} FROM ({SOFT}) WHERE NOT (o_orderkey < 500 AND o_version = 3)")(lambda sp, d: writes.delete_where(_state(sp, d), (F.col("o_orderkey") < 500) & (F.col("o_version") == 3)))
+query("q98_optimistic_token", f"SELECT {S_COLS} FROM ({SOFT}) WHERE NOT (o_orderpriority = '4-NOT SPECIFIED' AND o_version = 3)")(lambda sp, d: writes.delete_where(_state(sp, d), (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_version") == 3)))
 
 # hand-written SQL, computed columns, converters
 

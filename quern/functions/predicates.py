@@ -62,6 +62,7 @@ class Membership:
 
     marker: str
     column: SparkColumn
+    kind: str
     values: list
 
 
@@ -112,7 +113,7 @@ def _one(entity: type[Entity], w: Where, args: list, joined: list[Membership]) -
         values = list(dict.fromkeys(args[0] or []))
         if len(values) > LIST_JOIN and None not in values and not declared.converter:
             marker = f"__in_{len(joined)}"
-            joined.append(Membership(marker, column, values))
+            joined.append(Membership(marker, column, kind, values))
             found = F.col(marker).isNotNull()
             return found if op is Compare.IN else (~found & column.isNotNull())
         if op is Compare.IN:
@@ -136,20 +137,12 @@ def filtered(df: DataFrame, entity: type[Entity], criteria: tuple[Where, ...], a
     columns = df.columns
     for m in joined:
         # the list came from the driver, so it is small enough to send to every executor
-        listed = df.sparkSession.createDataFrame([(v,) for v in m.values], f"__v {entity.column(_name(m.column)).spark_type if _plain(m.column) else 'string'}").withColumn(m.marker, F.lit(True))
+        listed = df.sparkSession.createDataFrame([(v,) for v in m.values], f"__v {m.kind}").withColumn(m.marker, F.lit(True))
         df = df.join(F.broadcast(listed), m.column == F.col("__v"), "left").drop("__v")
     both = all_of([c for c in (around, where) if c is not None])
     return (df if both is None else df.where(both)).select(*columns)
 
 
-def _name(column: SparkColumn) -> str:
-    return str(column).removeprefix("Column<'").removesuffix("'>")
-
-
-def _plain(column: SparkColumn) -> bool:
-    return "(" not in _name(column)
-
-
 def keyset(columns: list[str], values: tuple, descending: bool = False) -> SparkColumn:
     """Rows after ``values`` in the order of ``columns``: lexicographic by OR, so a null never passes for a small value."""
     arms = []

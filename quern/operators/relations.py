@@ -35,17 +35,22 @@ def parent_of(frames: Frames, rows: DataFrame, relation: BelongsTo) -> DataFrame
 
 def junction_rows(frames: Frames, parents: DataFrame, parent: type[Entity], relation: ManyToMany) -> DataFrame:
     """__parent and __child_k of active junction rows whose parent is among ``parents`` and whose child is active."""
+    target = relation.target
+    links = _links(frames, parents, parent, relation)
+    kept = active_rows(frames, target).select(*[F.col(k.name).alias(f"__child_{i}") for i, k in enumerate(target.keys)])
+    return links.join(kept, kept.columns, "left_semi")
+
+
+def _links(frames: Frames, parents: DataFrame, parent: type[Entity], relation: ManyToMany) -> DataFrame:
     junction, parent_key, child_keys = relation.through(parent)
     rows = active_rows(frames, junction).select(F.col(parent_key).alias("__parent"), *[F.col(c).alias(f"__child_{i}") for i, c in enumerate(child_keys)])
     keys = parents.select(F.col(parent.keys[0].name).alias("__parent"))
-    target = relation.target
-    kept = active_rows(frames, target).select(*[F.col(k.name).alias(f"__child_{i}") for i, k in enumerate(target.keys)])
-    return rows.join(keys, "__parent", "left_semi").join(kept, [f"__child_{i}" for i in range(len(child_keys))], "left_semi")
+    return rows.join(keys, "__parent", "left_semi")
 
 
 def linked_rows(frames: Frames, parents: DataFrame, parent: type[Entity], relation: ManyToMany) -> DataFrame:
     """__parent and the child's columns: one row for each junction row, so repeated junction rows repeat the child."""
-    links = junction_rows(frames, parents, parent, relation)
+    links = _links(frames, parents, parent, relation)
     target = relation.target
     child = active_rows(frames, target)
     on = [child[k.name] == links[f"__child_{i}"] for i, k in enumerate(target.keys)]
