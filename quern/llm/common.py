@@ -57,6 +57,7 @@ def map_texts(df: DataFrame, rows_of: Callable[[list[list]], list[tuple]], schem
     Slices hold about SLICE_CHARS characters of the last column, so a worker's memory does not follow the batch size.
     """
     import pyarrow as pa
+    import pyarrow.compute
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -65,7 +66,7 @@ def map_texts(df: DataFrame, rows_of: Callable[[list[list]], list[tuple]], schem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, start, held = batch.num_rows, 0, 0
-            sizes = pa.compute.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
+            sizes = pyarrow.compute.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
             for i in range(n):
                 held += sizes[i] or 0
                 if held >= SLICE_CHARS or i == n - 1:

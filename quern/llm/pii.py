@@ -50,12 +50,12 @@ _OPEN, _SHUT = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _WORDS = "|".join(DIGIT_WORDS)
 #: What one step of the transducer reads: a bracketed or spaced "at" or "dot", or a run of spelled digits.
 _DISGUISE = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_SHUT}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({{<]\s*dot)))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_SHUT}|(?<=[A-Za-z0-9])\s+(?:dot|point)\s+(?=[A-Za-z0-9]))"
+    rf"(?P<at>&(?:#0*64|#x0*40|commat);|{_OPEN}(?:at|@){_SHUT}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({{<]\s*dot)))"
+    rf"|(?P<dot>&(?:#0*46|#x0*2e|period);|{_OPEN}(?:dot|\.){_SHUT}|(?<=[A-Za-z0-9])\s+(?:dot|point)\s+(?=[A-Za-z0-9]))"
     rf"|(?P<digits>(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{_WORDS})(?:[\s,-]+(?:{_WORDS}))*(?![A-Za-z0-9]))",
     re.IGNORECASE,
 )
-_HINTS = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "[.]", "(.)", "point")
+_HINTS = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "[.]", "(.)", "point", "&#", "&commat;", "&period;")
 
 
 def _luhn(digits: str) -> bool:

@@ -111,6 +111,7 @@ def test_base_spans_equal_the_written_patterns():
         ("ip １９２.１６８.１.１ z", "ip", "１９２.１６８.１.１"),
         ("call plus one two one two five five five zero one zero zero ok", "phone", "plus one two one two five five five zero one zero zero"),
         ("card ４５５６ ７３７５ ８６８９ ９８５５ z", "card", "４５５６ ７３７５ ８６８９ ９８５５"),
+        ("to jane&#64;example&period;com.", "email", "jane&#64;example&period;com"),
         ("a​j​@x.org", "email", "a​j​@x.org"),
     ],
 )
