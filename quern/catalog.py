@@ -451,6 +451,7 @@ def _new(spark, d):
 
 query("q80_insert", f"SELECT {S_COLS} FROM ({SOFT}) UNION ALL SELECT {S_COLS} FROM {NEW}")(lambda sp, d: writes.insert(_state(sp, d), _new(sp, d)))
 query("q81_inserted_rows", f"SELECT {S_COLS} FROM {NEW}")(lambda sp, d: _new(sp, d))
+query("q82_insert_all", f"SELECT {S_COLS} FROM ({SOFT}) UNION ALL SELECT o_orderkey + 2000000000, o_custkey, o_totalprice, o_orderpriority, false, NULL, 0 FROM orders")(lambda sp, d: writes.insert(_state(sp, d), writes.stamped(SoftOrder, ParquetTables(sp, d).frame(Order).select((F.col("o_orderkey") + 2000000000).alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority"), NOW, None, True)))
 query("q83_bulk_insert", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer UNION ALL SELECT s_suppkey + 5000000, s_name, s_nationkey, s_acctbal FROM supplier")(lambda sp, d: writes.insert(ParquetTables(sp, d).frame(TenantCustomer), sp.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 5000000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))))
 
 
@@ -472,6 +473,14 @@ def update_all(spark, d):
     return writes.update_rows(Customer, state, given)
 
 
+@query("q66_update_join", "SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(paid, o_totalprice) AS o_totalprice, o_orderdate, o_orderpriority FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS paid FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
+def update_join(spark, d):
+    """Orders updated in one join from values computed over their lines."""
+    tables = ParquetTables(spark, d)
+    values = tables.frame(Line).where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("o_totalprice"))
+    return writes.update_rows(Order, tables.frame(Order), values)
+
+
 def _price_below(entity, value):
     where, _ = condition(entity, (Where("o_totalprice", Compare.LESS),), (value,))
     return where
@@ -516,6 +525,22 @@ def several(spark, d):
     return a.unionByName(b)
 
 
+@query("q101_single_row", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+def single_row(spark, d):
+    """The only row of a result, as a frame again."""
+    _views(spark, d, "orders")
+    df = adhoc.query(spark, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = :key", key=77)
+    row = adhoc.single_or_none(df)
+    return spark.createDataFrame([] if row is None else [row], df.schema)
+
+
+@query("q102_scalar", "SELECT CAST(count(*) AS BIGINT) AS value FROM orders WHERE o_orderstatus = 'P'")
+def scalar(spark, d):
+    _views(spark, d, "orders")
+    found = adhoc.scalar(adhoc.query(spark, "SELECT count(*) FROM orders WHERE o_orderstatus = :status", status="P"), 0)
+    return spark.createDataFrame([(found,)], "value long")
+
+
 @query("ad_hoc_window", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders QUALIFY nth <= 3")
 def ad_hoc_window(spark, d):
     """SQL beyond the declared operations stays reachable."""

@@ -219,7 +219,7 @@ def test_wrong_stores_are_refused_when_defined(entity, operation, code):
 
 
 def test_wrong_entities_are_refused():
-    for code, columns in {"E001": {"a": Column("int")}, "E030": {"a": Column("string", key=True, generated=True)}, "E025": {"a": Column("int", key=True), "b": Column("int", soft_delete=True)}, "E005": {"a": Column("int", key=True), "b": Column("int", token=True), "c": Column("int", token=True)}}.items():
+    for code, columns in {"E003": {"a": Column("nothing", key=True)}, "E001": {"a": Column("int")}, "E030": {"a": Column("string", key=True, generated=True)}, "E025": {"a": Column("int", key=True), "b": Column("int", soft_delete=True)}, "E005": {"a": Column("int", key=True), "b": Column("int", token=True), "c": Column("int", token=True)}}.items():
         with pytest.raises(DefinitionError) as e:
             type("Bad", (Entity,), columns)
         assert e.value.code == code
