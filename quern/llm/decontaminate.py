@@ -17,7 +17,7 @@ from .common import map_texts, whole_texts, written
 WORDS = re.compile(r"\w+").findall
 #: Words of a seed; seeds of an item of which the rarest is kept (every such run of seeds keeps one, so long verbatim
 #: copies always meet one); alignment scores; share of an item's full score from which a passage counts as a copy.
-SEED, RARE_OF, MATCH, MISMATCH, GAP, COPY = 3, 2, 2, -2, -2, 0.5
+SEED, RARE_OF, MATCH, MISMATCH, GAP, COPY = 3, 2, 2, -1, -2, 0.5
 #: Characters of test items that one pass over the documents looks for; more items take more passes.
 BLOCK_CHARS = 50_000_000
 
@@ -222,6 +222,9 @@ def map_rows(df: DataFrame, rows_of, schema: str) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no copy of a test item; rows without a key stay."""
+    """The rows of ``docs``, with all their columns, that hold no copy of a test item; rows without a key stay.
+
+    The keys found grow with the corpus, so the join is a sort-merge one at every size.
+    """
     bad = find_copies(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("doc_id")).distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(docs.columns)
