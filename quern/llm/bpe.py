@@ -87,14 +87,14 @@ class Splitter:
 
 
 class Memo(dict):
-    """What ``make`` gives for a pre-token, kept for the first MEMO short ones and made anew each time for the others."""
+    """What ``make`` gives for a pre-token, kept for the first ``size`` short ones and made anew each time for the others."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, size: int = MEMO):
+        self.make, self.size = make, size
 
     def __missing__(self, token: str):
         made = self.make(token)
-        if len(self) < MEMO and len(token) <= 64:
+        if len(self) < self.size and len(token) <= 64:
             self[token] = made
         return made
 

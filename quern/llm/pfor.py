@@ -17,13 +17,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, Splitter, byte_alphabet, once
+from .bpe import MEMO, Memo, Splitter, byte_alphabet, once
 from .common import whole_texts, written
 
 BLOCK = 128
 MAGIC = b"QPF1"
 #: Ids after which a segment is closed (a longer document gets a segment of its own length).
 SEGMENT_IDS = 1 << 18
+_BITS = np.concatenate([[0], np.repeat(np.arange(1, 17), 1 << np.arange(16))]).astype(np.uint8)  # of numbers of 16 bits
+#: What the library's byte-level pre-tokenizer cuts, with the commonest alternative first: no two can begin alike but the
+#: last ones, so the order of the others does not matter.
+PIECES = r""" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def pack(ids: np.ndarray, percentile: float = 0.9) -> bytes:
@@ -36,35 +40,35 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     grid = padded.reshape(blocks, BLOCK)
     low = grid.min(axis=1) if blocks else np.empty(0, np.uint32)
     rest = grid - low[:, None]
-    need = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bits of each value; 0 for 0
+    high = rest >> 16
+    need = np.where(high > 0, 16 + _BITS[high], _BITS[rest & 0xFFFF]) if high.any() else _BITS[rest]  # bits of each value; 0 for 0
     width = np.sort(need, axis=1)[:, int(percentile * (BLOCK - 1))] if blocks else np.empty(0, np.uint8)
     odd = need > width[:, None]
     n_odd = odd.sum(axis=1)
     rest = np.where(odd, 0, rest).astype(np.uint64)
-    # 128 values at width w fill 2 w words of 64 bits; one pass for each position, over all blocks of a width
     sizes = 6 + 16 * width.astype(np.int64) + 5 * n_odd
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
-    words: list[np.ndarray | None] = [None] * 33
-    row = np.zeros(blocks, np.int64)
-    for w in np.unique(width):
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    body = np.empty(starts[-1], np.uint8)
+    begin = starts[:-1]
+    body[begin[:, None] + np.arange(4)] = low.view(np.uint8).reshape(-1, 4)
+    body[begin + 4], body[begin + 5] = width, n_odd
+    # 128 values at width w fill 2 w words of 64 bits; one pass for each position, over all blocks of a width
+    for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        row[at] = np.arange(len(at))
-        out = np.zeros((2 * int(w), len(at)), np.uint64)
+        out = np.zeros((2 * w, len(at)), np.uint64)
         values = np.ascontiguousarray(rest[at].T)
         for k in range(BLOCK if w else 0):
-            word, bit = divmod(k * int(w), 64)
+            word, bit = divmod(k * w, 64)
             out[word] |= values[k] << np.uint64(bit)
-            if bit + int(w) > 64:
+            if bit + w > 64:
                 out[word + 1] |= values[k] >> np.uint64(64 - bit)
-        words[int(w)] = np.ascontiguousarray(out.T)
-    parts = [struct.pack("<II", n, blocks), starts.tobytes()]
-    for b in range(blocks):
-        parts.append(struct.pack("<IBB", low[b], width[b], n_odd[b]))
-        parts.append(words[width[b]][row[b]].tobytes())
-        if n_odd[b]:
-            at = np.flatnonzero(odd[b])
-            parts += [at.astype(np.uint8).tobytes(), (grid[b, at] - low[b]).astype(np.uint32).tobytes()]
-    return b"".join(parts)
+        body[(begin[at] + 6)[:, None] + np.arange(16 * w)] = np.ascontiguousarray(out.T).view(np.uint8).reshape(len(at), 16 * w)
+    block, where = np.nonzero(odd)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(n_odd) - n_odd, n_odd)
+    tail = begin[block] + 6 + 16 * width[block].astype(np.int64)
+    body[tail + nth] = where
+    body[(tail + n_odd[block] + 4 * nth)[:, None] + np.arange(4)] = (grid[block, where] - low[block]).view(np.uint8).reshape(-1, 4)
+    return struct.pack("<II", n, blocks) + starts.astype(np.uint32).tobytes() + body.tobytes()
 
 
 def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -94,9 +98,11 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
                 v = v | (words[word + 1] << np.uint64(64 - bit))
             values[k] = v & mask
         out[at] = values.T
-    for b in np.flatnonzero(n_odd):
-        e, m = begin[b] + 6 + 16 * int(width[b]), int(n_odd[b])
-        out[b, raw[e : e + m]] = np.frombuffer(data, np.uint32, m, e + m)
+    block = np.repeat(np.arange(count), n_odd)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(n_odd, dtype=np.int64) - n_odd, n_odd)
+    tail = begin[block] + 6 + 16 * width[block].astype(np.int64)
+    late = raw[(tail + n_odd[block] + 4 * nth)[:, None] + np.arange(4)]
+    out[block, raw[tail + nth]] = np.ascontiguousarray(late).view(np.uint32).reshape(-1)
     return (out + low[:, None]).reshape(-1)[: n - first * BLOCK if last == blocks else count * BLOCK]
 
 
@@ -122,21 +128,19 @@ class LibraryCodec:
     def __init__(self, spec: str):
         import json
 
-        import public_tokenizers
-
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_str(spec).model
         shown = dict(enumerate(byte_alphabet()))
         self.special = {x["content"]: np.uint32(x["id"]).tobytes() for x in json.loads(spec)["added_tokens"]}
-        self.split = Splitter(public_tokenizers.PATTERN, list(self.special))
+        self.split = Splitter(PIECES, list(self.special))
 
         def ids_of(piece: str) -> bytes:
             if piece in self.special:
                 return self.special[piece]
             return array("I", [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(shown))]).tobytes()
 
-        self.ids_of = Memo(ids_of).__getitem__
+        self.ids_of = Memo(ids_of, 2 * MEMO).__getitem__
 
     def pieces(self, text: str) -> list[str]:
         if self.special and any(s in text for s in self.special):
