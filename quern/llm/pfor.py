@@ -135,10 +135,14 @@ class LibraryCodec:
         self.special = {x["content"]: np.uint32(x["id"]).tobytes() for x in json.loads(spec)["added_tokens"]}
         self.split = Splitter(PIECES, list(self.special))
 
+        space, tokenize = shown[32], model.tokenize
+
         def ids_of(piece: str) -> bytes:
             if piece in self.special:
                 return self.special[piece]
-            return array("I", [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(shown))]).tobytes()
+            plain = piece.isascii() and piece.isprintable()  # only a space is then shown as another sign
+            form = piece.replace(" ", space) if plain else piece.encode("utf-8").decode("latin-1").translate(shown)
+            return array("I", [t.id for t in tokenize(form)]).tobytes()
 
         self.ids_of = Memo(ids_of, 2 * MEMO).__getitem__
 
@@ -194,7 +198,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 0, percentile: flo
 
     ordered = whole_texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(F.col("doc_id"), F.col("h"))
     ordered = ordered.sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part int, seg int, part_start long, n_ids long, data binary"), "ids")
+    return written(ordered.mapInArrow(run, "part int, seg int, part_start long, n_ids long, data binary"), "ids", "none")
 
 
 def read_ids(segments: DataFrame, with_ids: bool = False) -> DataFrame:

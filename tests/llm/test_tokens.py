@@ -58,6 +58,18 @@ def test_encode_equals_library_and_round_trips(docs, texts):
         assert got[i].decoded_sha256 == sha256((t or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("pattern", [P.PATTERN, pfor.PIECES])
+def test_splitters_agree_on_all_signs(pattern):
+    import regex
+
+    rnd = random.Random(6)
+    split, plain = bpe.Splitter(pattern), regex.compile(P.PATTERN)
+    narrow, wide = [chr(c) for c in range(256)], [chr(rnd.choice((rnd.randrange(0x3000), rnd.randrange(0xE000, 0x11000)))) for _ in range(300)]
+    for k in range(6000):
+        text = "".join(rnd.choice(narrow if k % 2 else narrow + wide) + rnd.choice(("", "", " ", "'s", "\n ")) for _ in range(40))
+        assert split.find(text) == plain.findall(text)
+
+
 def test_perfect_hash_is_minimal_and_refuses_others():
     keys = [struct.pack("<I", k * 7919) for k in range(3000)]
     h = bpe.PerfectHash(keys)
