@@ -10,8 +10,8 @@ from quern.operators import adhoc
 from quern.plans import schema
 from quern.plans.hooks import Hooks, RepeatedReads, SlowOperations
 from quern.plans.store import (
-    Aggregate, Count, DeleteAll, DeleteWhere, Exists, FullTextSearch, GroupCount, Insert, KeysetPage, PagedResult, Restore, SelectAll, SelectAllByField, SelectAllEager, SelectByPredicate, SelectOneByKey,
-    SelectOneEager, SelectRelated, TopByOrder, Update, UpdateAll, UpdateWhere, Upsert, named_fields,
+    Aggregate, Count, DeleteWhere, Exists, FullTextSearch, GroupCount, Insert, KeysetPage, PagedResult, Restore, SelectAll, SelectAllByField, SelectAllEager, SelectByPredicate, SelectOneByKey,
+    SelectOneEager, SelectRelated, TopByOrder, UpdateWhere, Upsert, named_fields,
 )
 from quern.streaming import stream_rows
 
