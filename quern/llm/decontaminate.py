@@ -11,7 +11,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import once
 from .common import map_texts, whole_texts, written
 
 WORDS = re.compile(r"\w+").findall
@@ -131,7 +130,6 @@ def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing; repeated documents are each reported, repeated items too; null keys are kept; empty tables give no rows;
     extra columns are ignored. What is broadcast is one block of items, of bounded size whatever the corpus.
     """
-    spark = docs.sparkSession
     tests = benchmark.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
