@@ -20,11 +20,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a text and shingles in each: two texts at the threshold agree on a sketch with a chance of about 0.8 ** DRAWS,
 #: and on none of all with one of 2 in 10,000.
 SKETCHES, DRAWS = 12, 3
-#: Members of a block, in which all of different classes are compared; larger groups are dealt into blocks of about that size.
-BLOCK = 16
-#: Distances between the three sketches on which members of a block agree, for each deal. Two texts at the threshold agree
-#: on half of all sketches, so on several triples of each deal.
-DEALS = (((1, 2), (4, 7)), ((2, 5), (3, 9)))
+#: Members of a part of a bucket (two parts are compared at once), and shingles whose holders are counted together.
+PART, COLUMNS = 512, 4096
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, (2, SKETCHES), np.uint64) | np.uint64(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SHINGLE)], np.uint64)
@@ -168,29 +165,77 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "x", "y"), rows_of, "a long, b long")
 
 
-def _within_blocks(rows: DataFrame, strides: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (id, label, keys) with different labels that agree on three sketches and share a block.
-
-    Three sketches make a key; a key that more than BLOCK rows have is dealt into blocks of about that size.
+def shared_shingles(texts: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the texts have in common, wherever they stand."""
+    n = len(texts)
+    _, column, held = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(t) for t in texts])
+    several = held > 1  # others are in no two texts
+    keep = several[column]
+    row, column = row[keep], (np.cumsum(several) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for c in range(0, int(several.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, (c, c + COLUMNS)))
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[row[at], column[at] - c] = 1
+        shared += x @ x.T
+    return shared
+
+
+def links_among(ids: list[int], labels: list[int], texts: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of near-duplicates that join the classes of the given texts as far as any pair of them does.
+
+    The common shingles of two texts bound their aligned share from above, so only pairs that have enough are aligned, and
+    those only while their classes are apart.
+    """
+    sizes = np.array([len(t) for t in texts], np.float64)
+    shared = shared_shingles(texts).astype(np.float64)
+    classes = np.unique(np.array(labels), return_inverse=True)[1]
+    enough = shared >= SIMILAR * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+    links = []
+    for i, j in np.argwhere(np.triu(enough & (classes[:, None] != classes[None, :]), 1)).tolist():
+        if classes[i] != classes[j] and aligned_share(texts[i], texts[j]) >= SIMILAR:
+            links.append((ids[i], ids[j]))
+            classes[classes == classes[j]] = classes[i]
+    return links
+
+
+def _within_buckets(labelled: DataFrame, words: DataFrame) -> DataFrame:
+    """Links (a, b) between rows of ``labelled`` (key, id, label) of one key and different labels, of every such pair that is one.
+
+    A key's rows are those of its largest class and the rest; both are dealt into parts, and each part of the rest meets
+    every part. So rows of the largest class are never set against each other, and no task holds more than two parts.
     """
-    triples = [(i, (i + x) % SKETCHES, (i + y) % SKETCHES) for x, y in strides for i in range(SKETCHES)]
-    keys = F.array(*[F.xxhash64(*[F.get("keys", F.lit(k)) for k in t], F.lit(n)) for n, t in enumerate(triples)])
-    spread = rows.select("id", "label", F.explode(keys).alias("key"))
-    shared = spread.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-    salt = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / BLOCK))
-    blocks = spread.join(shared, "key").groupBy("key", salt.alias("salt")).agg(F.collect_list(F.struct("id", "label")).alias("block"))
-    some = blocks.select(F.explode("block").alias("x"), "block").select("x", F.explode(F.expr("filter(block, y -> y.id > x.id and y.label <> x.label)")).alias("y"))
-    return some.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    parts = counts.where("top.n < n").select("key", F.col("top.label").alias("largest"), F.ceil(F.col("top.n") / PART).alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / PART).alias("rests"))
+    # a part's number: the rest's come first; a cell is two numbers, of which the lesser is one of the rest's
+    top = F.col("label") == F.col("largest")
+    part = F.when(top, F.col("rests") + F.pmod(F.xxhash64("id", "key"), "tops")).otherwise(F.pmod(F.xxhash64("id", "key"), "rests"))
+    others = F.when(top, F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).otherwise(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("rests") + F.col("tops") - 1), F.array("part")))
+    dealt = labelled.hint("merge").join(parts, "key").withColumn("part", part)
+    cells = dealt.select("key", "id", "label", "part", F.explode(others).alias("other")).select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id", "label")
+
+    def linked(cell):
+        import pyarrow as pa
+
+        ids, labels, held = (cell.column(c).to_pylist() for c in ("id", "label", "words"))
+        links = links_among(ids, labels, [labelled_shingles(np.frombuffer(w, np.uint32)) for w in held]) if len(set(labels)) > 1 else []
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return cells.hint("merge").join(words, "id").groupBy("key", "x", "y").applyInArrow(linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every document: documents linked by near-duplicate texts share a class, named by its least key.
 
     Texts with the same words are one representative from the start. Representatives that share an order sketch meet in a
-    bucket. First each is compared with the least member of its buckets. Then those from buckets that still hold several
-    classes are compared, class against class, with others that agree on three sketches, in blocks of bounded size; this is
-    dealt twice, with other triples of sketches, or once if the first deal finds no new link. Nothing but minima and counts is gathered for
-    a whole bucket, so one of any size is spread over tasks; comparisons are linear in its members.
+    bucket. First each is compared with the least member of its buckets. Then, in each bucket whose other members are still of
+    several classes, every two of different classes are compared: their common shingles are counted, and where these are
+    enough the two are aligned. So all pairs that share a sketch are settled, each by its own test or by sharing a class.
+    Nothing but minima and counts is gathered for a whole bucket, so one of any size is spread over tasks; its comparisons
+    grow with its members times those outside its largest class.
 
     Two texts are near-duplicates if a banded alignment pairs SIMILAR of their five-word shingles (see ``aligned_share``).
     Null texts are empty; texts without words are near-duplicates only of the same text. Rows with equal keys are one
@@ -210,17 +255,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = written(members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = written(verify(stars, words), "links")
 
-    classes, tested = components(links), stars
-    for strides in DEALS:
-        labelled = members.join(classes, members.id == classes.node, "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        apart = labelled.join(mixed, "key", "left_semi").select("id", "label").distinct()
-        rest = written(_within_blocks(reps.join(apart, "id"), strides).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(verify(rest, words), "links")
-        if more.isEmpty():
-            break
-        links, tested = links.unionByName(more), tested.unionByName(rest)
-        classes = components(links)
+    classes = components(links)
+    others = members.where("id <> least")  # the least was compared with all
+    labelled = others.join(classes, others.id == classes.node, "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    more = written(_within_buckets(labelled, words.select("id", "words")), "links")
+    if not more.isEmpty():
+        classes = components(links.unionByName(more))
     named = reps.join(classes, reps.id == classes.node, "left").select("digest", F.coalesce("label", "id").alias("class_id"))
     keyed = sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     return keyed.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))

@@ -102,3 +102,18 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (200, 300)], "a long, b long")
     got = {r.node: r.label for r in nd.components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100}
+
+
+def test_a_large_bucket_of_many_classes_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PART", 32)  # so that the bucket is dealt into many parts
+    rnd = random.Random(4)
+    template = [f"t{k}" for k in range(60)]
+    own = [[f"d{i}x{k}" for k in range(60)] for i in range(300)]
+    texts = [" ".join(template + w) for w in own] + [" ".join(template + w[:50] + [f"e{i}"] + w[51:]) for i, w in enumerate(own)]
+    ids = list(range(600))
+    rnd.shuffle(ids)  # the two of a pair lie anywhere
+    # all of other classes under one key; under the other, half of one class
+    members = spark.createDataFrame([(1, i, i) for i in ids] + [(2, i, i if n % 2 else -1) for n, i in enumerate(ids)], "key long, id long, label long")
+    words = spark.createDataFrame([(ids[i], nd.word_numbers(t).tobytes()) for i, t in enumerate(texts)], "id long, words binary")
+    got = {tuple(sorted((r.a, r.b))) for r in nd._within_buckets(members, words).collect()}
+    assert got == {tuple(sorted((ids[i], ids[i + 300]))) for i in range(300)}
