@@ -117,3 +117,27 @@ def test_a_large_bucket_of_many_classes_loses_no_pair(spark, monkeypatch):
     words = spark.createDataFrame([(ids[i], nd.word_numbers(t).tobytes()) for i, t in enumerate(texts)], "id long, words binary")
     got = {tuple(sorted((r.a, r.b))) for r in nd._within_buckets(members, words).collect()}
     assert got == {tuple(sorted((ids[i], ids[i + 300]))) for i in range(300)}
+
+
+def test_near_copies_whose_buckets_all_have_a_lesser_member(spark):
+    """Two texts that agree on two sketches only, and for each of these a lesser text that agrees on it and is like neither."""
+    rnd = random.Random(1)
+    while True:
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(200)]
+        edited = list(base)
+        for k in rnd.sample(range(200), 4):
+            edited[k] = "new"
+        one, two = (nd.labelled_shingles(nd.word_numbers(" ".join(w))) for w in (base, edited))
+        agreed = [j for j, (x, y) in enumerate(zip(nd.order_sketches(one), nd.order_sketches(two))) if x == y]
+        if len(agreed) == 2 and nd.aligned_share(one, two) >= nd.SIMILAR:
+            break
+    lesser = []
+    for j in agreed:
+        values = (one ^ nd._SEEDS[0, j]) * nd._SEEDS[1, j]
+        picked = np.sort(np.argsort(values ^ values >> np.uint64(32))[: nd.DRAWS])
+        lesser.append(" ".join(" ".join(base[k : k + nd.SHINGLE]) for k in picked))
+        own = nd.labelled_shingles(nd.word_numbers(lesser[-1]))
+        assert nd.order_sketches(own)[j] == nd.order_sketches(one)[j] and nd.aligned_share(own, one) == 0
+    texts = [*lesser, " ".join(base), " ".join(edited)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
