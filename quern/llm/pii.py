@@ -55,7 +55,9 @@ _DISGUISE = re.compile(
     rf"|(?P<digits>(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{_WORDS})(?:[\s,-]+(?:{_WORDS}))*(?![A-Za-z0-9]))",
     re.IGNORECASE,
 )
-_HINTS = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "[@", "(@", "[.]", "(.)", "point", "&#", "&commat;", "&period;")
+#: One of these is in whatever _DISGUISE matches: an entity's start, the word or sign in brackets, "at" before a dot; or a digit word.
+_HINTS = ("&#", "&commat;", "&period;", "dot", "point")
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:at|@|\.)\s*[\])}}>]", re.IGNORECASE)
 
 
 def _luhn(digits: str) -> bool:
@@ -93,6 +95,11 @@ def find_plain(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _lower(text: str) -> str:
+    """Lower case, where a dotted capital I is an i, as it is for the pattern."""
+    return text.lower().replace("i\u0307", "i")
+
+
 def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
     """The text without disguises, with the source start and end of each of its characters; None if it has none."""
     chars: list[str] = []
@@ -109,9 +116,12 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
             flat, where = "".join(p for p, _ in kept), [i for _, i in kept]
         else:
             flat, where = text, None
-    low = flat.lower()
-    spelled = sum(low.count(w) for w in DIGIT_WORDS) >= 4
-    if not spelled and not any(h in low for h in _HINTS):
+    low = _lower(flat)
+    spelled = sum(low.count(w) for w in DIGIT_WORDS)
+    # a spelled digit counts beside an "@" or among the four digits that the shortest of the other kinds has
+    if spelled and "@" not in flat:
+        spelled = spelled + sum(map(flat.count, "0123456789")) >= 4
+    if not spelled and not any(h in low for h in _HINTS) and not _BRACKETED.search(flat):
         if not changed:
             return None
         return flat, where, [i + 1 for i in where]
@@ -119,7 +129,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
     for m in _DISGUISE.finditer(flat):
         kind = m.lastgroup
         if kind == "digits":
-            words = re.split(r"[\s,-]+", m[0].lower())
+            words = re.split(r"[\s,-]+", _lower(m[0]))
             put = ("+" if words[0] == "plus" else "") + "".join(DIGIT_WORDS[w] for w in words if w != "plus")
         else:
             put = "@" if kind == "at" else "."
@@ -142,7 +152,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
 
 
 def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and the spans that only show after normalisation and overlap no base span of their kind."""
+    """Base spans, and the spans that only show after normalisation: those that lie in no base span of their kind."""
     base = find_plain(text)
     plain = normalise(text)
     if plain is None:
@@ -151,7 +161,7 @@ def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     added = []
     for kind, a, b in find_plain(flat):
         start, end = starts[a], ends[b - 1]
-        if not any(k == kind and s < end and start < e for k, s, e in base):
+        if not any(k == kind and s <= start and end <= e for k, s, e in base):
             added.append((kind, start, end))
     return base, added
 

@@ -136,3 +136,19 @@ def test_find_pii_rows(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
     kept = pii.redact_texts(df).orderBy("doc_id").collect()
     assert kept[0].text == "<EMAIL> <IP>" and kept[1].text is None and kept[0].spans == 0
+
+
+@pytest.mark.parametrize(
+    "part, kind",
+    [(f"jane{a}example{d}com", "email") for a in ("{@}", "<@>", "[ @ ]", "( @ )", "[\t@]", "@") for d in ("{.}", "<.>", "[ . ]", "( . )", ".")]
+    + [("+49 30 one two three 4567", "phone"), ("192.168.one.1", "ip"), ("j\u043ehn.doe@example.com", "email"), ("john@mail.example dot com", "email")],
+)
+@pytest.mark.parametrize("beside", ["", " An anecdote, at this point."])
+def test_disguises_are_found_whatever_stands_beside_them(part, kind, beside):
+    base, added = pii.find_spans(f"to {part},{beside}")
+    assert (pii.KINDS.index(kind), 3, 3 + len(part)) in base + added
+    assert pii.redact(f"to {part},{beside}") == f"to <{kind.upper()}>,{beside}"
+
+
+def test_a_dotted_capital_in_a_digit_word():
+    assert [k for k, _, _ in pii.find_spans("+49 30 f\u0130ve two three 4567")[1]] == [3]
