@@ -27,7 +27,7 @@ NAMES = {
 }
 NOTICES = {
     "apache": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mit": ["Released under the MIT License.", "Released under MIT.", "Licensed under MIT.", "Permission is hereby granted, free of charge, to any person obtaining a copy", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program."],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
@@ -47,12 +47,14 @@ UNKNOWN = [
     "Licensed under an agreement between the parties.", "Released under licence to the broadcaster.", "See the license file for details.", "This work is licensed.", "Licensing fees apply to commercial use.", "Distributed under a custom license of the vendor.",
     "They reserved a table for two.", "The rights of all citizens are protected.", "Seats are reserved for members.", "The house of commons voted.", "Creative people work on common ground.", "He filed a copyright claim.", "Copyright law changed that year.",
     "The apache helicopter landed.", "The eclipse was seen in public.", "The public domain of the river.", "The warranty covers two years.", "Permission to enter was given.", "The attribution of the painting is contested.", "All seats reserved.", "A general public meeting was held under the mozilla tree.",
+    "He sat in the software department.", "A review of this software appeared.", "This software and its rivals were compared.", "The software to be tested.", "Eclipse public viewing starts at noon.", "The permission notice hung on the door.",
     "Version 2.0 of the plan was released under pressure.", "The terms of the public contract, version 3.",
 ]
 CUES = "licence licences licenced license licenses licensed licensing sublicense unlicense copyright copyleft reserved gnu gpl gplv2 gplv3 lgpl agpl apache bsd mozilla mpl eclipse epl expat creative commons cc cc0 spdx warranties redistribution redistributions redistribute proprietary permission attribution noncommercial sharealike waived reproduced software mit".split()
-#: Words too common in some language to be a cue alone ("mit" is German, "software" is everywhere): features need another cue.
+#: Words too common in some language to be a cue alone ("mit" is German, "software" is everywhere): they count beside another
+#: word that is not in COMMON, or among three.
 WEAK = frozenset({"mit", "software", "permission", "creative", "eclipse"})
-CUE_PATTERN = r"(?i)\b(?:" + "|".join(c for c in CUES if c not in WEAK) + r")\b"
+COMMON = frozenset("a all and any for in is of on or that the this to was with".split())
 ORDERS = (1, 2, 3)
 #: Paragraphs of the corpus, with the lowest hashes among those with a cue, that may join the unknown class in training.
 CORPUS_ROWS = 500
@@ -69,12 +71,24 @@ def grams_of(words: list[str], orders=ORDERS) -> set[str]:
 
 
 def _is_feature(gram: str) -> bool:
-    return any(w in _STRONG for w in gram.split())
+    words = gram.split()
+    return any(w in _STRONG for w in words) or (any(w in WEAK for w in words) and (len(words) > 2 or (len(words) == 2 and not COMMON & set(words))))
 
 
 _STRONG = frozenset(c for c in CUES if c not in WEAK)
 
 
+def _cue_pattern() -> str:
+    """Matches what holds a feature of the families' training texts: a cue word, or such words about a weak one."""
+    texts = [lead.format(name) for names in NAMES.values() for name in names for lead in LEADS] + [n for notices in NOTICES.values() for n in notices]
+    grams = {g for t in texts for g in grams_of(words_of(t), (2, 3)) if _is_feature(g) and not _STRONG & set(g.split())}
+    cues = sorted(_STRONG) + sorted(g.replace(" ", "[^A-Za-z0-9]+") for g in grams)
+    return r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(cues) + r")(?![A-Za-z0-9])"
+
+
+CUE_PATTERN = _cue_pattern()
+
+
 @dataclass
 class Classifier:
     families: list[str]  # the last is the unknown class
@@ -142,9 +156,9 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, paragraph (its line number), text of the lines that hold a cue word.
+    """row, doc_id, paragraph (its line number), text of the lines that hold a cue.
 
-    Every feature of the classifier holds a cue, so a line without one has no features and needs no scoring.
+    Every feature that speaks for a family holds a cue, so a line without one could only be unknown and needs no scoring.
     """
     texts = docs.select("doc_id", "text").where(F.col("text").rlike(CUE_PATTERN))
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(CUE_PATTERN))
@@ -169,12 +183,13 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
         sample = lines.select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(CORPUS_ROWS)
         classifier = train([r.line for r in sample.collect()])
     k = len(classifier.families)
-    weights = spark.createDataFrame([(g, *w) for g, w in classifier.weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
+    weights = spark.createDataFrame([("", *classifier.bias), *((g, *w) for g, w in classifier.weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
 
     cut = lines.withColumn("words", _words(F.col("line")))
-    grams = F.array_distinct(F.concat(*[_grams(F.col("words"), n) for n in ORDERS]))
+    # the empty gram has the bias, so a line without a feature has a row too
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(F.col("words"), n) for n in ORDERS]))
     hits = cut.select("row", "doc_id", "paragraph", "words", F.explode(grams).alias("gram")).join(F.broadcast(weights), "gram")
-    sums = hits.groupBy("row", "doc_id", "paragraph").agg(F.first("words").alias("words"), *[(F.sum(f"w{i}") + F.lit(classifier.bias[i])).alias(f"z{i}") for i in range(k)])
+    sums = hits.groupBy("row", "doc_id", "paragraph").agg(F.first("words").alias("words"), *[F.sum(f"w{i}").alias(f"z{i}") for i in range(k)])
     scores = F.array(*[F.struct(F.col(f"z{i}").alias("z"), F.lit(-i).alias("i")) for i in range(k)])
     best = sums.withColumn("best", F.array_max(scores))
     total = sum((F.exp(F.col(f"z{i}") - F.col("best.z")) for i in range(1, k)), F.exp(F.col("z0") - F.col("best.z")))

@@ -56,3 +56,12 @@ def test_plan_runs_no_python(spark, classifier):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = L.scan(df, classifier)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_notices_are_found_as_their_family_and_no_scanned_line_is_lost(spark, classifier):
+    expected = [(n, f) for f, notices in L.NOTICES.items() for n in notices]
+    expected += [("Released under MIT.", "mit"), ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"), ("sublicense", "unknown")]
+    expected += [("mit der Software", None), ("He installed the software.", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(expected)], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in L.scan(df, classifier).collect()}
+    assert [(t, got.get(i)) for i, (t, _) in enumerate(expected)] == expected
