@@ -82,7 +82,11 @@ def _cue_pattern() -> str:
     """Matches what holds a feature of the families' training texts: a cue word, or such words about a weak one."""
     texts = [lead.format(name) for names in NAMES.values() for name in names for lead in LEADS] + [n for notices in NOTICES.values() for n in notices]
     grams = {g for t in texts for g in grams_of(words_of(t), (2, 3)) if _is_feature(g) and not _STRONG & set(g.split())}
-    cues = sorted(_STRONG) + sorted(g.replace(" ", "[^A-Za-z0-9]+") for g in grams)
+    grams = {g for g in grams if not any(h != g and f" {h} " in f" {g} " for h in grams)}  # a longer one holds what is there
+    follow: dict[str, list[str]] = {}
+    for first, *rest in map(str.split, sorted(grams)):
+        follow.setdefault(first, []).append("[^A-Za-z0-9]+".join(rest))
+    cues = sorted(_STRONG) + [first + "[^A-Za-z0-9]+(?:" + "|".join(rests) + ")" for first, rests in follow.items()]
     return r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(cues) + r")(?![A-Za-z0-9])"
 
 
