@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()  # set by SparkContext.setCheckpointDir
         if own.isDefined():
             return own.get()
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quern-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -38,10 +39,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage, and survives lost executors."""
+_scratch: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written in this block, unless to be kept, are deleted at its end; kept ones belong to the block around it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scratch.pop():
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, tag: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts the lineage, and survives lost executors.
+
+    Such a table stays until the ``scratch`` block that it is written in ends; to be kept, until the block around that ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
+    holders = _scratch[: len(_scratch) - keep]
+    if holders:
+        holders[-1].append((spark, path))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,3 +105,21 @@ def map_texts(df: DataFrame, rows_of: Callable[[list[list]], list[tuple]], schem
                     start, held = i + 1, 0
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, rows_of, schema: str) -> DataFrame:
+    """``rows_of`` applied to the lists of all columns, a thousand rows at a time."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                rows = rows_of([c.to_pylist() for c in batch.slice(i, 1000).columns])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    return df.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, whole_texts, written
+from .common import map_rows, map_texts, whole_texts, written
 
 WORDS = re.compile(r"\w+").findall
 #: Words of a seed; seeds of an item of which the rarest is kept (every such run of seeds keeps one, so long verbatim
@@ -201,24 +201,6 @@ def _block_copies(texts: DataFrame, items: Items, key_type: str) -> DataFrame:
     return aligned.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word", "b.n_seeds")
 
 
-def map_rows(df: DataFrame, rows_of, schema: str) -> DataFrame:
-    """``rows_of`` applied to the lists of all columns, a thousand rows at a time."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                rows = rows_of([c.to_pylist() for c in batch.slice(i, 1000).columns])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), out)], schema=out)
-
-    return df.mapInArrow(run, schema)
-
-
 def drop_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no copy of a test item; rows without a key stay.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from zlib import crc32
 
 import numpy as np
@@ -11,16 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, whole_texts, written
-from .decontaminate import map_rows
+from .common import map_rows, map_texts, scratch, whole_texts, written
 
 WORDS = re.compile(r"\w+").findall
-#: Words of a shingle, and the aligned share from which two texts are near-duplicates.
+#: Words of a shingle, and the aligned share of their words from which two texts are near-duplicates.
 SHINGLE, SIMILAR = 5, 0.8
-#: Sketches of a text and shingles in each: two texts at the threshold agree on a sketch with a chance of about 0.8 ** DRAWS,
-#: and on none of all with one of 2 in 10,000.
-SKETCHES, DRAWS = 12, 3
-#: Members of a part of a bucket (two parts are compared at once), and shingles whose holders are counted together.
+#: Sketches of a text and shingles in each. Two texts agree on a sketch with a chance of about the share of common shingles to
+#: the power of DRAWS, so on none with one of 1 in 2,700 where a word in 25 differs, and of 1 in 100 where one in 16 does.
+SKETCHES, DRAWS = 24, 3
+#: Members of a part of a bucket (two parts are compared at once), and labels whose holders are counted together.
 PART, COLUMNS = 512, 4096
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, (2, SKETCHES), np.uint64) | np.uint64(1)
@@ -33,8 +31,26 @@ def word_numbers(text: str) -> np.ndarray:
     return np.fromiter(map(crc32, map(str.encode, words)), np.uint32, len(words))
 
 
+def labelled(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes told apart by how often each has occurred before, so that each is unique in its text."""
+    h = h ^ h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(h, kind="stable")
+    ranked = h[order]
+    at = np.arange(len(h))
+    first = np.r_[True, ranked[1:] != ranked[:-1]][: len(h)]
+    occurrence = np.empty(len(h), np.uint64)
+    occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    h += occurrence * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(32)
+
+
+def labelled_words(words: np.ndarray) -> np.ndarray:
+    return labelled(words.astype(np.uint64) + np.uint64(1))
+
+
 def labelled_shingles(words: np.ndarray) -> np.ndarray:
-    """Shingles in text order, hashed with their occurrence number, so each is unique in its text.
+    """Shingles in text order, hashed with their occurrence number.
 
     A text of fewer words than a shingle is one shingle; one without words has none.
     """
@@ -47,16 +63,7 @@ def labelled_shingles(words: np.ndarray) -> np.ndarray:
         h += (words[k : n - size + 1 + k].astype(np.uint64) + np.uint64(1)) * _POWERS[k]
     if n < SHINGLE:
         h += np.uint64(n)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    order = np.argsort(h, kind="stable")
-    ranked = h[order]
-    at = np.arange(len(h))
-    first = np.r_[True, ranked[1:] != ranked[:-1]]
-    occurrence = np.empty(len(h), np.uint64)
-    occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    h += occurrence * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(32)
+    return labelled(h)
 
 
 def order_sketches(shingles: np.ndarray) -> list[int]:
@@ -66,11 +73,16 @@ def order_sketches(shingles: np.ndarray) -> list[int]:
         return []
     out = np.empty(SKETCHES, np.uint64)
     step = SKETCHES if n < 50_000 else 1
+    rows = np.arange(step)
     for j in range(0, SKETCHES, step):
-        values = (shingles[None, :] ^ _SEEDS[0, j : j + step, None]) * _SEEDS[1, j : j + step, None]
-        values ^= values >> np.uint64(32)
         if n > DRAWS:
-            picked = np.sort(np.argpartition(values, DRAWS - 1, axis=1)[:, :DRAWS], axis=1)
+            values = (shingles[None, :] ^ _SEEDS[0, j : j + step, None]) * _SEEDS[1, j : j + step, None]
+            values ^= values >> np.uint64(32)
+            picked = np.empty((step, DRAWS), np.int64)
+            for k in range(DRAWS):  # the least, and it is out of the way of the next
+                picked[:, k] = values.argmin(axis=1)
+                values[rows, picked[:, k]] = np.uint64(2**64 - 1)
+            picked.sort(axis=1)
         else:
             picked = np.broadcast_to(np.arange(n), (step, n))
         key = np.arange(j, j + step, dtype=np.uint64)
@@ -82,31 +94,60 @@ def order_sketches(shingles: np.ndarray) -> list[int]:
 
 
 def aligned_share(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
-    """Shingles that a banded alignment of two texts pairs in order, over those that either has; 0 if surely below ``least``.
+    """Words of two texts that their best alignment within a band pairs, over those that either has; 0 if surely below ``least``.
 
-    At ``least`` or more, at most a known number of shingles is left unpaired, so pairs lie within that distance of the
-    diagonal. As labelled shingles are unique in a text, the alignment is the longest rising chain of pairs in the band.
+    At ``least`` or more only so many words are left unpaired, so all pairs lie within that distance of the diagonal. The
+    table's rows are numbers with a bit for each word of ``b``; a bit that is off is a step up of the row.
     """
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < least * max(n, m):
         return 0.0
+    band = int((n + m) * (1 - 2 * least / (1 + least))) + 1
+    places: dict[int, int] = {}
+    for j, word in enumerate(b.tolist()):
+        places[word] = places.get(word, 0) | 1 << j
+    whole, window = (1 << m) - 1, (1 << 2 * band + 1) - 1
+    row = whole
+    for i, word in enumerate(a.tolist()):
+        if word in places:
+            met = row & places[word] & (window << i - band if i > band else window >> band - i)
+            row = (row + met | row - met) & whole
+    paired = m - row.bit_count()
+    return paired / (n + m - paired)
+
+
+def run_share(n: int, m: int, a: np.ndarray, b: np.ndarray) -> float:
+    """A share that the alignment of two texts of n and m words reaches at least, from the shingles a and b of both.
+
+    Common shingles that rise in both texts pair their words, each as many as lie before the next one begins.
+    """
     _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(at_a) < least * (n + m - len(at_a)):
-        return 0.0
-    band = (n + m) * (1 - 2 * least / (1 + least)) + 1
     order = np.argsort(at_a)
-    chain = at_b[order][np.abs(at_a - at_b)[order] <= band]
-    if len(chain) > 1 and not (np.diff(chain) > 0).all():
-        tails: list[int] = []
-        for p in chain.tolist():
-            k = bisect_left(tails, p)
-            tails[k : k + 1] = [p]
-        paired = len(tails)
-    else:
-        paired = len(chain)
+    at_a, at_b = at_a[order], at_b[order]
+    rising = at_b == np.maximum.accumulate(at_b)  # some of them that rise; which ones only makes the bound better
+    at_a, at_b = at_a[rising], at_b[rising]
+    if not len(at_a):
+        return 0.0
+    paired = SHINGLE + int(np.minimum(np.minimum(np.diff(at_a), np.diff(at_b)), SHINGLE).sum()) if min(n, m) >= SHINGLE else n
     return paired / (n + m - paired)
 
 
+def similar(a: np.ndarray, b: np.ndarray, of_a: np.ndarray | None = None, of_b: np.ndarray | None = None) -> bool:
+    """Whether two texts, given as word numbers (and shingles), are near-duplicates: see ``aligned_share``.
+
+    Most pairs are settled by a bound: from below by common shingles, from above by common words in any order.
+    """
+    n, m = len(a), len(b)
+    if min(n, m) < SIMILAR * max(n, m):
+        return False
+    of_a = labelled_shingles(a) if of_a is None else of_a
+    of_b = labelled_shingles(b) if of_b is None else of_b
+    if run_share(n, m, of_a, of_b) >= SIMILAR:
+        return True
+    common = len(np.intersect1d(labelled_words(a), labelled_words(b), assume_unique=True))
+    return common >= SIMILAR * (n + m - common) and aligned_share(a, b) >= SIMILAR
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text's words, and its order sketches, for rows with a key."""
 
@@ -152,11 +193,12 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def rows_of(columns):
-        rows, known = [], {}
+        rows, known, words, shingles = [], None, None, None
         for a, b, x, y in zip(*columns):
-            if known.get("a") != a:  # pairs of one text often follow each other
-                known = {"a": a, "shingles": labelled_shingles(np.frombuffer(x, np.uint32))}
-            if aligned_share(known["shingles"], labelled_shingles(np.frombuffer(y, np.uint32))) >= SIMILAR:
+            if known != a:  # pairs of one text often follow each other
+                known, words = a, np.frombuffer(x, np.uint32)
+                shingles = labelled_shingles(words)
+            if similar(words, np.frombuffer(y, np.uint32), shingles):
                 rows.append((a, b))
         return rows
 
@@ -165,8 +207,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "x", "y"), rows_of, "a long, b long")
 
 
-def shared_shingles(texts: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each two of the texts have in common, wherever they stand."""
+def shared_labels(texts: list[np.ndarray]) -> np.ndarray:
+    """How many labels (each unique in its text) each two of the texts have in common, wherever they stand."""
     n = len(texts)
     _, column, held = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), [len(t) for t in texts])
@@ -185,18 +227,18 @@ def shared_shingles(texts: list[np.ndarray]) -> np.ndarray:
 
 
 def links_among(ids: list[int], labels: list[int], texts: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of near-duplicates that join the classes of the given texts as far as any pair of them does.
+    """Pairs of near-duplicates that join the classes of the given texts (word numbers) as far as any pair of them does.
 
-    The common shingles of two texts bound their aligned share from above, so only pairs that have enough are aligned, and
+    The common words of two texts bound their aligned share from above, so only pairs that have enough are aligned, and
     those only while their classes are apart.
     """
     sizes = np.array([len(t) for t in texts], np.float64)
-    shared = shared_shingles(texts).astype(np.float64)
+    shared = shared_labels([labelled_words(t) for t in texts]).astype(np.float64)
     classes = np.unique(np.array(labels), return_inverse=True)[1]
     enough = shared >= SIMILAR * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
     links = []
     for i, j in np.argwhere(np.triu(enough & (classes[:, None] != classes[None, :]), 1)).tolist():
-        if classes[i] != classes[j] and aligned_share(texts[i], texts[j]) >= SIMILAR:
+        if classes[i] != classes[j] and similar(texts[i], texts[j]):
             links.append((ids[i], ids[j]))
             classes[classes == classes[j]] = classes[i]
     return links
@@ -221,7 +263,7 @@ def _within_buckets(labelled: DataFrame, words: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         ids, labels, held = (cell.column(c).to_pylist() for c in ("id", "label", "words"))
-        links = links_among(ids, labels, [labelled_shingles(np.frombuffer(w, np.uint32)) for w in held]) if len(set(labels)) > 1 else []
+        links = links_among(ids, labels, [np.frombuffer(w, np.uint32) for w in held]) if len(set(labels)) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return cells.hint("merge").join(words, "id").groupBy("key", "x", "y").applyInArrow(linked, "a long, b long").distinct()
@@ -230,44 +272,53 @@ def _within_buckets(labelled: DataFrame, words: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every document: documents linked by near-duplicate texts share a class, named by its least key.
 
-    Texts with the same words are one representative from the start. Representatives that share an order sketch meet in a
-    bucket. First each is compared with the least member of its buckets. Then, in each bucket whose other members are still of
-    several classes, every two of different classes are compared: their common shingles are counted, and where these are
-    enough the two are aligned. So all pairs that share a sketch are settled, each by its own test or by sharing a class.
-    Nothing but minima and counts is gathered for a whole bucket, so one of any size is spread over tasks; its comparisons
-    grow with its members times those outside its largest class.
-
-    Two texts are near-duplicates if a banded alignment pairs SIMILAR of their five-word shingles (see ``aligned_share``).
-    Null texts are empty; texts without words are near-duplicates only of the same text. Rows with equal keys are one
-    document. Rows with a null key get a null class and are not compared. Extra columns are ignored.
+    Two texts are near-duplicates if a banded alignment pairs SIMILAR of the words that either has (see ``aligned_share``),
+    so also where every edited word breaks five shingles. Texts with the same words are one representative from the start.
+    Representatives that share an order sketch of five-word shingles meet in a bucket. First each is compared with the least
+    member of its buckets. Then, in each bucket whose other members are still of several classes, every two of different
+    classes are compared: their common words are counted, and where these are enough the two are aligned. So all pairs that
+    share a sketch are settled, each by its own test or by sharing a class. Nothing but minima and counts is gathered for a
+    whole bucket, so one of any size is spread over tasks; its comparisons grow with its members times those outside its
+    largest class.
+
+    Null texts are empty; texts without words are near-duplicates only of the same text. Repeated rows each give a row, also
+    with the same key and different texts, where classes may be joined through the key. Rows with a null key get a null
+    class and are not compared. Extra columns are ignored; an empty table gives no rows.
     """
-    sketched = written(sketch(docs), "sketches")
-    same = sketched.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    reps = written(same, "representatives")
-    spread = reps.select("id", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least <> most")
-    members = written(spread.join(shared.drop("most"), "key"), "members")
-
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi")
-    numbered = map_texts(texts, lambda c: [(k, word_numbers(t).tobytes()) for k, t in zip(*c)], "id long, words binary", "id", "text")
-    words = written(numbered, "words")
-
-    stars = written(members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = written(verify(stars, words), "links")
-
-    classes = components(links)
-    others = members.where("id <> least")  # the least was compared with all
-    labelled = others.join(classes, others.id == classes.node, "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    more = written(_within_buckets(labelled, words.select("id", "words")), "links")
-    if not more.isEmpty():
-        classes = components(links.unionByName(more))
-    named = reps.join(classes, reps.id == classes.node, "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    keyed = sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
-    return keyed.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    with scratch():
+        sketched = written(sketch(docs), "sketches")
+        same = sketched.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+        reps = written(same, "representatives")
+        spread = reps.select("id", F.explode("keys").alias("key"))
+        shared = spread.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+        members = written(spread.join(shared.drop("most"), "key"), "members")
+
+        texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+        numbered = map_texts(texts, lambda c: [(k, word_numbers(t).tobytes()) for k, t in zip(*c)], "id long, words binary", "id", "text")
+        words = written(numbered, "words")
+
+        stars = written(members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+        links = written(verify(stars, words), "links")
+
+        classes = components(links)
+        others = members.where("id <> least")  # the least was compared with all
+        labels = others.join(classes, others.id == classes.node, "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        more = written(_within_buckets(labels, words.select("id", "words")), "links")
+        if not more.isEmpty():
+            classes = components(links.unionByName(more))
+        named = reps.join(classes, reps.id == classes.node, "left").select("digest", F.coalesce("label", "id").alias("class_id"))
+        keyed = sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
+        found = written(keyed, "classes", keep=True)
+    return found.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least key; rows with a null key stay."""
+    """One document of each class of near-duplicates, the one with the least key; rows with a null key stay.
+
+    Of several rows with one key the one whose text has the least hash stays, so the result is the same at every run. Null,
+    empty and repeated texts are as in ``near_duplicates``; an empty table stays empty; all columns, whatever their names, are kept.
+    """
     kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(F.coalesce("text", F.lit("")))).alias("row")
+    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(row)
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))
