@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+#: A comment, a declaration, or a tag: quotes may hold a ">"; where one is never closed, the tag ends at the first ">".
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
@@ -30,7 +31,9 @@ NAMES = frozenset(
 
 #: Lines in a block, and the characters of a block at which the text surges; both as published for line-block methods.
 WINDOW, SURGE = 3, 86
-
+#: What a page's own marks are worth: a line in a main element counts so many characters more, and the characters of the
+#: lines outside it, where a page has one with text, count a part only.
+MARKED, OUTSIDE = SURGE, 4
 
 def _surrounds(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element holds what surrounds an article rather than the article."""
@@ -40,7 +43,7 @@ def _surrounds(tag: str, attrs: str, inside: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and tag not in ("body", "html") and tag not in MAIN:
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
             words = set(_WORD.findall(value))
             if words & NAMES or (words & {"header"} and not inside):
                 return True
@@ -51,8 +54,21 @@ def _surrounds(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def end_of_tags(page: str) -> int:
+    """Where the last tag can end; looking no further keeps the search linear. An unclosed comment ends with the page."""
+    closed = page.rfind(">") + 1
+    return len(page) if page.find("<!--", page.rfind("-->") + 1) >= 0 else closed
+
+
+GAP = ("", 0, False)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, in a main element) of each line: blocks end lines, surrounding elements are left out."""
+    """(text, characters outside links, in a main element) of each line.
+
+    Blocks end lines. Surrounding elements are left out and leave an empty line; where a main element begins or ends stand as
+    many as a block has.
+    """
     lines: list[tuple[str, int, bool]] = []
     held: list[str] = []
     linked = 0
@@ -71,6 +87,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     def pop():
         nonlocal off, inside, in_link
         t, surrounds, main = stack.pop()
+        if main:
+            close()
+            lines.extend([GAP] * WINDOW)
         depth[t] -= 1
         off -= surrounds
         inside -= main
@@ -83,8 +102,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if in_link:
                 linked += len(piece)
 
-    done, low = 0, None
-    at = _TAG.search(page)
+    done, low, last = 0, None, end_of_tags(page)
+    at = TAG.search(page, 0, last)
     while at:
         text(page[done : at.start()])
         done = at.end()
@@ -107,55 +126,66 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 done = len(page) if shut < 0 else shut + 1
             elif tag not in VOID and not at[3].endswith("/"):
                 surrounds, main = _surrounds(tag, at[3], inside > 0), tag in MAIN or "role=\"main\"" in at[3]
+                if surrounds and not off:
+                    lines.append(GAP)
+                if main:
+                    lines.extend([GAP] * WINDOW)
                 stack.append((tag, surrounds, main))
                 depth[tag] += 1
                 off += surrounds
                 inside += main
                 in_link += tag == "a"
-        at = _TAG.search(page, done)
+        at = TAG.search(page, done, last)
     text(page[done:])
     close()
     return lines
 
 
-def main_text(page: str | None) -> str:
-    """The lines between surges and dives of the line-block distribution, joined by spaces.
+def weights(lines: list[tuple[str, int, bool]]) -> list[int]:
+    """What each line adds to its blocks: its characters outside links, changed by what the page itself marks as main."""
+    if not any(main and text for text, _, main in lines):
+        return [n for _, n, _ in lines]
+    return [n + MARKED if main and text else n // OUTSIDE for text, n, main in lines]
+
 
-    A line inside an ``article`` or ``main`` element that has text counts as a full block, so the text surges and dives at
-    the element's ends and short paragraphs stay; if there is such an element, lines outside it count nothing.
+def kept_lines(weight: list[int]) -> list[bool]:
+    """Which lines lie between a surge and the dive after it.
+
+    The text surges at a line with weight that lies in a block (WINDOW lines) of SURGE or more, and dives where a block of no
+    weight begins, so short lines stay wherever the text has not ended.
     """
-    lines = lines_of(page or "")
-    marked = any(main for _, _, main in lines)
-    weight = [(SURGE if main else 0) if marked else n for _, n, main in lines]
-    kept = [False] * len(lines)
-    total, n = 0, len(lines)
-    blocks = []
+    n = len(weight)
+    total, blocks = 0, []
     for i in range(n + WINDOW - 1):  # the block that ends at line i
         total += weight[i] if i < n else 0
         total -= weight[i - WINDOW] if i >= WINDOW else 0
         blocks.append(total)
-    i = 0
-    while i < n:
-        if weight[i] and max(blocks[i : i + WINDOW]) >= SURGE:  # surge: some block that holds the line is full
-            j = i
-            while j < n and weight[j] and max(blocks[j : j + WINDOW]) >= SURGE:
-                j += 1
-            for k in range(i, j):
-                kept[k] = True
-            i = j  # dive
-        i += 1
-    if not any(kept) and lines and not marked:  # a page of one short text
-        best = max(range(n), key=lambda k: weight[k])
-        kept[best] = weight[best] > 0
-    return " ".join(t for (t, _, _), k in zip(lines, kept) if k)
+    kept, on = [False] * n, False
+    for i in range(n):
+        on = bool(blocks[i + WINDOW - 1]) if on else weight[i] > 0 and max(blocks[i : i + WINDOW]) >= SURGE
+        kept[i] = on
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """The lines between surges and dives of the line-block distribution, joined by spaces.
+
+    A page whose text never surges is one short text: all its lines that are more than links.
+    """
+    lines = lines_of(page or "")
+    weight = weights(lines)
+    kept = kept_lines(weight)
+    if not any(kept):
+        kept = [w > 0 for w in weight]
+    return " ".join(text for (text, _, _), k in zip(lines, kept) if k and text)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, by the distribution of line blocks over the whole html.
 
     Null and empty pages give the empty text; null keys and addresses stay null; repeated rows are each extracted; broken
-    markup never fails: unclosed elements end with their parent, a stray sign is text; extra columns are ignored. Time and
-    memory are linear in the page.
+    markup never fails: unclosed elements end with their parent, a stray sign is text; extra columns are ignored; an empty
+    table gives no rows. Time and memory are linear in the page.
     """
 
     def rows_of(columns):

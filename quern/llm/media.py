@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, whole_texts, written
+from .extract import TAG, end_of_tags
 
 WIDTH = 64
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _SRC = re.compile(r"""\bsrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ALT = re.compile(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # The elements that show media, and those that end a run of text.
@@ -44,8 +44,8 @@ def parse_sequence(page: str | None) -> list[dict]:
         else:
             items.append({"position": len(items), "kind": "text", "text": text, "digest": None, "caption": None})
 
-    done = 0
-    for m in _TAG.finditer(page or ""):
+    page, done = page or "", 0
+    for m in TAG.finditer(page, 0, end_of_tags(page)):
         held.append(page[done : m.start()])
         done = m.end()
         tag = (m[2] or "").lower()
@@ -63,7 +63,7 @@ def parse_sequence(page: str | None) -> list[dict]:
             figure = None if m[1] else []
         elif tag == "figcaption":
             in_caption = not m[1]
-    held.append((page or "")[done:])
+    held.append(page[done:])
     close()
     return items
 
