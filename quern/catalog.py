@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import datetime
+from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.filters import GlobalFilter, active, all_of, enforced, filter_scope
-from .functions.predicates import Compare, Where, condition
-from .operators import adhoc, reads, relations, writes
+from .functions.filters import GlobalFilter, filter_scope
+from .functions.predicates import Compare, Where
+from .operators import adhoc, relations
 from .plans import store as s
-from .sources.entity import AdHoc, BelongsTo, Column, Converter, Entity, HasMany, ManyToMany, Projection
+from .sources.entity import AdHoc, BelongsTo, Column, Converter, Entity, HasMany, ManyToMany, Projection, as_json, as_name
+from .sources.shared import shared_dir
+from .sources.states import StateTables
 from .sources.tables import FrameTables, ParquetTables
-
-NOW = datetime(2024, 6, 1)
+from .streaming import stream_rows
 
 
 class Region(Entity, table="region"):
@@ -182,6 +184,7 @@ class Orders(s.Store, entity=Order):
     least = s.Aggregate("min", "o_totalprice")
     most = s.Aggregate("max", "o_orderdate")
     groups = s.GroupCount("o_orderpriority")
+    change_all = s.UpdateAll()
 
 
 class NullableOrders(s.Store, entity=NullableOrder):
@@ -191,6 +194,11 @@ class NullableOrders(s.Store, entity=NullableOrder):
     listed = s.SelectByPredicate(Where("o_custkey", Compare.IN))
     unlisted = s.SelectByPredicate(Where("o_custkey", Compare.NOT_IN))
     groups = s.GroupCount("o_custkey")
+    by_price = s.KeysetPage("o_totalprice", "o_orderkey")
+    by_price_back = s.KeysetPage("o_totalprice", "o_orderkey", descending=True)
+    erase_where = s.DeleteWhere(Where("o_totalprice", Compare.LESS), hard=True)
+    erase_listed = s.DeleteWhere(Where("o_custkey", Compare.IN), hard=True)
+    erase_unlisted = s.DeleteWhere(Where("o_custkey", Compare.NOT_IN), hard=True)
 
 
 class SoftOrders(s.Store, entity=SoftOrder):
@@ -201,10 +209,32 @@ class SoftOrders(s.Store, entity=SoftOrder):
     n = s.Count()
     groups = s.GroupCount("o_orderpriority", include_deleted=True)
     flat_or = s.SelectByPredicate(Where("o_totalprice", Compare.LESS), Where("o_custkey", Compare.LESS, or_=True))
+    add = s.Insert()
+    add_returning = s.Insert(returning=True)
+    add_all = s.InsertAll()
+    change = s.Update()
+    change_returning = s.Update(returning=True)
+    set_priority = s.UpdateWhere(("o_orderpriority",), Where("o_totalprice", Compare.LESS))
+    set_listed = s.UpdateWhere(("o_orderpriority",), Where("o_custkey", Compare.IN))
+    drop = s.Delete()
+    erase = s.Delete(hard=True)
+    erase_returning = s.Delete(hard=True, returning=True)
+    erase_all = s.DeleteAll(hard=True)
+    drop_where = s.DeleteWhere(Where("o_totalprice", Compare.LESS))
+    restore = s.Restore()
+    run_delete = s.Execute("o_orderpriority = :priority AND o_version = :version")
+    run_update = s.Execute("o_totalprice BETWEEN :low AND :high", o_totalprice="round(o_totalprice * 2, 2)", o_orderpriority="concat(o_orderpriority, :mark)")
 
 
 class Tenants(s.Store, entity=TenantCustomer):
     all = s.SelectAll()
+    bulk = s.BulkInsert()
+    erase_poor = s.DeleteWhere(Where("c_acctbal", Compare.LESS), hard=True)
+
+
+class Customers(s.Store, entity=Customer):
+    put = s.Upsert()
+    change_all = s.UpdateAll()
 
 
 class Events(s.Store, entity=Event):
@@ -231,11 +261,11 @@ class Regions(s.Store, entity=Region):
 
 
 class Nations(s.Store, entity=Nation):
-    eager = s.SelectAllEager("region", "customers")
+    eager = s.SelectAllEager("region", "customers", fields={"customers": ("c_custkey",)})
 
 
 class OrdersWithParts(s.Store, entity=OrderParts):
-    eager = s.SelectAllEager("parts")
+    eager = s.SelectAllEager("parts", fields={"parts": ("p_partkey",)})
     parts_of = s.SelectRelated("parts")
 
 
@@ -260,12 +290,22 @@ def _nulls(spark: SparkSession, d: str) -> FrameTables:
     return FrameTables(spark, {"nullable_orders": made})
 
 
-def _state(spark: SparkSession, d: str) -> DataFrame:
-    return _soft(spark, d).frame(SoftOrder)
+def _changed(store: type[s.Store], source, change: Callable[[s.Store], object]) -> DataFrame:
+    """The table's rows after ``change`` of a store over ``source``."""
+    made = store(StateTables(source.spark, source))
+    change(made)
+    return made.rows()
+
+
+def _kept(spark: SparkSession, source=None) -> StateTables:
+    """Tables whose states are written in the shared folder."""
+    return StateTables(spark, source, f"{shared_dir(spark)}/quern/states-{uuid.uuid4().hex}")
 
 
-def _both(*conditions):
-    return all_of([c for c in conditions if c is not None])
+def _version(store: s.Store, key: int) -> int:
+    """The token that a client would have read with the row."""
+    row = store.rows().where(F.col("o_orderkey") == key).first()
+    return row.o_version if row else 0
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,11 +358,20 @@ query("q17_keyset_backward", f"SELECT {O_COLS} FROM orders WHERE o_totalprice <
 
 @query("q13_paged_result", "SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 10 OFFSET 20")
 def paged_result(spark, d):
-    """The page beside its total as one frame: a one-row count joined by broadcast."""
-    store = _orders(spark, d)
-    rows = Orders.paged.matching(store, ("F",))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return reads.offset_page(rows.orderBy("o_orderkey"), 20, 10).select("o_orderkey", "o_orderstatus").join(F.broadcast(total))
+    """The page and its total as a frame again."""
+    page = _orders(spark, d).paged("F", 20, 10)
+    return spark.createDataFrame([(r.o_orderkey, r.o_orderstatus, page.total) for r in page.items], "o_orderkey long, o_orderstatus string, total long")
+
+
+query("q16_keyset_after_null", f"SELECT * FROM ({NULLS}) WHERE o_totalprice IS NULL AND o_orderkey > 50 OR o_totalprice IS NOT NULL ORDER BY o_totalprice NULLS FIRST, o_orderkey LIMIT 30000")(lambda sp, d: NullableOrders(_nulls(sp, d)).frame("by_price", (None, 50), 30000))
+query("q17_keyset_backward_nulls", f"SELECT * FROM ({NULLS}) WHERE o_totalprice < 60000.0 OR o_totalprice IS NULL OR o_totalprice = 60000.0 AND o_orderkey < 9 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey DESC LIMIT 30000")(lambda sp, d: NullableOrders(_nulls(sp, d)).frame("by_price_back", (60000.0, 9), 30000))
+
+
+@query("stream_rows", "SELECT n_nationkey, n_name FROM nation")
+def streamed(spark, d):
+    """Rows of a read that came one after another, as a frame again."""
+    rows = stream_rows(ParquetTables(spark, d).frame(Nation).select("n_nationkey", "n_name"))
+    return spark.createDataFrame([tuple(r) for r in rows], "n_nationkey int, n_name string")
 
 
 # predicates
@@ -429,13 +478,15 @@ class Author(Entity, table="soft_customers"):
     orders = HasMany(SoftOrder, "o_custkey")
 
 
+class Authors(s.Store, entity=Author):
+    eager = s.SelectAllEager("orders", fields={"orders": ("o_orderkey",)}, include_deleted=True)
+
+
 @query("q75_eager_deleted_parents", f"SELECT c_custkey, c_mktsegment = 'FURNITURE' AS c_deleted, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM ({SOFT}) WHERE NOT o_deleted AND o_open) ON o_custkey = c_custkey GROUP BY 1, 2")
 def eager_deleted_parents(spark, d):
     """Deleted parents are shown, their children keep their own filters."""
     frames = _soft(spark, d).frames | {"soft_customers": ParquetTables(spark, d).frame(Customer).select("c_custkey", (F.col("c_mktsegment") == "FURNITURE").alias("c_deleted"))}
-    tables = FrameTables(spark, frames)
-    parents = relations.active_rows(tables.frame, Author, include_deleted=True)
-    return relations.eager(tables.frame, parents, Author, ("orders",)).select("c_custkey", "c_deleted", F.size("orders").cast("long").alias("n"))
+    return Authors(FrameTables(spark, frames)).eager().select("c_custkey", "c_deleted", F.size("orders").cast("long").alias("n"))
 
 
 # writes: the table's state afterwards
@@ -445,14 +496,32 @@ NEW = "(SELECT o_orderkey + 1000000000 AS o_orderkey, o_custkey, o_totalprice, o
 
 def _new(spark, d):
     rows = ParquetTables(spark, d).frame(Order).where("o_orderstatus = 'P'")
-    given = rows.select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority", F.lit(True).alias("o_open"))
-    return writes.stamped(SoftOrder, given, NOW, None, True)
+    return rows.select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority", F.lit(True).alias("o_open"))
+
+
+def _more(spark, d):
+    return ParquetTables(spark, d).frame(Order).select((F.col("o_orderkey") + 2000000000).alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority")
+
+
+def _suppliers(spark, d):
+    return spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 5000000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+
 
+ONE = "SELECT CAST(5000000001 AS BIGINT) AS o_orderkey, CAST(3 AS BIGINT) AS o_custkey, CAST(12.5 AS DOUBLE) AS o_totalprice, '1-URGENT' AS o_orderpriority, false AS o_deleted, true AS o_open, 0 AS o_version"
+ROW = {"o_orderkey": 5000000001, "o_custkey": 3, "o_totalprice": 12.5, "o_orderpriority": "1-URGENT", "o_open": True}
 
-query("q80_insert", f"SELECT {S_COLS} FROM ({SOFT}) UNION ALL SELECT {S_COLS} FROM {NEW}")(lambda sp, d: writes.insert(_state(sp, d), _new(sp, d)))
-query("q81_inserted_rows", f"SELECT {S_COLS} FROM {NEW}")(lambda sp, d: _new(sp, d))
-query("q82_insert_all", f"SELECT {S_COLS} FROM ({SOFT}) UNION ALL SELECT o_orderkey + 2000000000, o_custkey, o_totalprice, o_orderpriority, false, NULL, 0 FROM orders")(lambda sp, d: writes.insert(_state(sp, d), writes.stamped(SoftOrder, ParquetTables(sp, d).frame(Order).select((F.col("o_orderkey") + 2000000000).alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority"), NOW, None, True)))
-query("q83_bulk_insert", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer UNION ALL SELECT s_suppkey + 5000000, s_name, s_nationkey, s_acctbal FROM supplier")(lambda sp, d: writes.insert(ParquetTables(sp, d).frame(TenantCustomer), sp.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 5000000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))))
+query("q80_insert", f"SELECT {S_COLS} FROM ({SOFT}) UNION ALL SELECT {S_COLS} FROM {NEW}")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.add_all(_new(sp, d))))
+query("q80_insert_one", f"SELECT {S_COLS} FROM ({SOFT}) UNION ALL {ONE}")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.add(**ROW)))
+query("q81_inserted_rows", f"SELECT {S_COLS} FROM {NEW}")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.add_all(_new(sp, d))).where("o_orderkey > 1000000000"))
+query("q81_insert_returning", ONE)(lambda sp, d: _as_frame(SoftOrders(StateTables(sp, _soft(sp, d))), lambda t: t.add_returning(**ROW)))
+query("q82_insert_all", f"SELECT {S_COLS} FROM ({SOFT}) UNION ALL SELECT o_orderkey + 2000000000, o_custkey, o_totalprice, o_orderpriority, false, NULL, 0 FROM orders")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.add_all(_more(sp, d))))
+query("q83_bulk_insert", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer UNION ALL SELECT s_suppkey + 5000000, s_name, s_nationkey, s_acctbal FROM supplier")(lambda sp, d: _changed(Tenants, ParquetTables(sp, d), lambda t: t.bulk(_suppliers(sp, d))))
+
+
+def _as_frame(store, operation):
+    """The one row that an operation returns, as a frame."""
+    row = operation(store)
+    return store.spark.createDataFrame([] if row is None else [row], store.rows().schema)
 
 
 @query("q84_upsert", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new ' || c_custkey ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.5 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer UNION ALL SELECT s_suppkey + 9000000000, 'new ' || (s_suppkey + 9000000000), s_nationkey, 1.5, 'SUPPLIER' FROM supplier")
@@ -460,17 +529,55 @@ def upsert(spark, d):
     state = ParquetTables(spark, d).frame(Customer)
     fresh = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") + 9000000000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"), F.lit("SUPPLIER").alias("c_mktsegment"))
     given = state.where("c_mktsegment = 'BUILDING'").unionByName(fresh).withColumn("c_name", F.concat(F.lit("new "), F.col("c_custkey").cast("string"))).withColumn("c_acctbal", F.lit(1.5))
-    return writes.upsert_rows(Customer, state, given)
+    return _changed(Customers, ParquetTables(spark, d), lambda t: t.put(given))
+
+
+class Note(Entity, table="notes"):
+    note_id = Column("long", key=True, generated=True)
+    title = Column("string")
+
+
+class Notes(s.Store, entity=Note):
+    add_all = s.InsertAll()
+    put = s.Upsert()
 
 
-query("q90_update_by_key", f"SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = 77 AND o_version = o_custkey % 5 THEN 1.0 ELSE o_totalprice END AS o_totalprice, o_orderpriority, o_deleted, o_open, CASE WHEN o_orderkey = 77 THEN o_version + 1 ELSE o_version END AS o_version FROM ({SOFT})")(lambda sp, d: writes.update_where(SoftOrder, _state(sp, d), reads.key_condition(SoftOrder, (77,)), {"o_totalprice": F.lit(1.0)}, NOW, None))
+@query("q85_upsert_generated_key", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS note_id, CASE WHEN n_nationkey = 4 THEN 'changed' ELSE n_name END AS title FROM nation UNION ALL SELECT 26, 'added'")
+def upsert_generated(spark, d):
+    """Keys are made for rows without one, in order where the batch is one file; rows with one replace theirs."""
+    notes = Notes(_kept(spark))
+    notes.tables.create(Note, spark.createDataFrame([], "note_id long, title string"))
+    notes.add_all(ParquetTables(spark, d).frame(Nation).orderBy("n_nationkey").coalesce(1).select(F.col("n_name").alias("title")))
+    notes.put([{"note_id": 5, "title": "changed"}, {"title": "added"}])
+    return notes.rows()
+
+
+class Labelled(Entity, table="labelled"):
+    id = Column("guid", key=True, sequential_guid=True)
+    name = Column("string")
+
+
+class Labels(s.Store, entity=Labelled):
+    add_all = s.InsertAll()
+
+
+@query("q112_sequential_guid", "SELECT n_name AS name, 36 AS n_chars, '7' AS version, CAST(25 AS BIGINT) AS different FROM nation")
+def sequential_guids(spark, d):
+    labels = Labels(_kept(spark))
+    labels.tables.create(Labelled, spark.createDataFrame([], "id string, name string"))
+    labels.add_all(ParquetTables(spark, d).frame(Nation).select(F.col("n_name").alias("name")))
+    rows = labels.rows()
+    return rows.select("name", F.length("id").alias("n_chars"), F.substring("id", 15, 1).alias("version")).join(F.broadcast(rows.agg(F.countDistinct("id").alias("different"))))
+
+
+query("q90_update_by_key", f"SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = 77 AND o_version = o_custkey % 5 THEN 1.0 ELSE o_totalprice END AS o_totalprice, o_orderpriority, o_deleted, o_open, CASE WHEN o_orderkey = 77 THEN o_version + 1 ELSE o_version END AS o_version FROM ({SOFT})")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.change(o_orderkey=77, o_totalprice=1, o_version=_version(t, 77))))
+query("q90_update_returning", f"SELECT o_orderkey, o_custkey, CAST(1 AS DOUBLE) AS o_totalprice, o_orderpriority, o_deleted, o_open, o_version + 1 AS o_version FROM ({SOFT}) WHERE o_orderkey = 77")(lambda sp, d: _as_frame(SoftOrders(StateTables(sp, _soft(sp, d))), lambda t: t.change_returning(o_orderkey=77, o_totalprice=1, o_version=_version(t, 77))))
 
 
 @query("q91_update_all", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN upper(c_mktsegment) || c_custkey ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def update_all(spark, d):
-    state = ParquetTables(spark, d).frame(Customer)
-    given = state.where("c_acctbal > 0").select("c_custkey", F.concat(F.upper("c_mktsegment"), F.col("c_custkey").cast("string")).alias("c_name"))
-    return writes.update_rows(Customer, state, given)
+    given = ParquetTables(spark, d).frame(Customer).where("c_acctbal > 0").select("c_custkey", F.concat(F.upper("c_mktsegment"), F.col("c_custkey").cast("string")).alias("c_name"))
+    return _changed(Customers, ParquetTables(spark, d), lambda t: t.change_all(given))
 
 
 @query("q66_update_join", "SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(paid, o_totalprice) AS o_totalprice, o_orderdate, o_orderpriority FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS paid FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
@@ -478,31 +585,45 @@ def update_join(spark, d):
     """Orders updated in one join from values computed over their lines."""
     tables = ParquetTables(spark, d)
     values = tables.frame(Line).where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("o_totalprice"))
-    return writes.update_rows(Order, tables.frame(Order), values)
-
+    return _changed(Orders, tables, lambda t: t.change_all(values))
 
-def _price_below(entity, value):
-    where, _ = condition(entity, (Where("o_totalprice", Compare.LESS),), (value,))
-    return where
 
+SET_X = "SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN {0} AND NOT o_deleted AND o_open THEN 'X' ELSE o_orderpriority END AS o_orderpriority, o_deleted, o_open, CASE WHEN {0} AND NOT o_deleted AND o_open THEN o_version + 1 ELSE o_version END AS o_version FROM (" + SOFT + ")"
 
-query("q92_update_where", f"SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_totalprice < 90000 AND NOT o_deleted AND o_open THEN 'X' ELSE o_orderpriority END AS o_orderpriority, o_deleted, o_open, CASE WHEN o_totalprice < 90000 AND NOT o_deleted AND o_open THEN o_version + 1 ELSE o_version END AS o_version FROM ({SOFT})")(lambda sp, d: writes.update_where(SoftOrder, _state(sp, d), _both(active(SoftOrder), _price_below(SoftOrder, 90000)), {"o_orderpriority": F.lit("X")}, NOW, None))
-query("q93_soft_delete_by_key", f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_deleted OR o_orderkey = 77 AS o_deleted, o_open, CASE WHEN o_orderkey = 77 THEN o_version + 1 ELSE o_version END AS o_version FROM ({SOFT})")(lambda sp, d: writes.flag_deleted(SoftOrder, _state(sp, d), reads.key_condition(SoftOrder, (77,)), NOW))
-query("q94_hard_delete_by_key", f"SELECT {S_COLS} FROM ({SOFT}) WHERE NOT o_orderkey = 77")(lambda sp, d: writes.delete_where(_state(sp, d), reads.key_condition(SoftOrder, (77,))))
-query("q95_delete_all", f"SELECT {S_COLS} FROM ({SOFT}) WHERE o_orderkey NOT IN (1, 2, 3, 500)")(lambda sp, d: writes.delete_where(_state(sp, d), F.col("o_orderkey").isin([1, 2, 3, 500])))
-query("q96_soft_delete_where", f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_deleted OR (o_totalprice < 90000 AND o_open) AS o_deleted, o_open, CASE WHEN o_totalprice < 90000 AND NOT o_deleted AND o_open THEN o_version + 1 ELSE o_version END AS o_version FROM ({SOFT})")(lambda sp, d: writes.flag_deleted(SoftOrder, _state(sp, d), _both(active(SoftOrder), _price_below(SoftOrder, 90000)), NOW))
-query("q96_hard_delete_where_unknown_stays", f"SELECT * FROM ({NULLS}) WHERE NOT coalesce(o_totalprice < 200000, false)")(lambda sp, d: writes.delete_where(_nulls(sp, d).frame(NullableOrder), _price_below(NullableOrder, 200000)))
+query("q92_update_where", SET_X.format("o_totalprice < 90000"))(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.set_priority("X", 90000)))
+query("q92_update_where_listed", SET_X.format("o_custkey % 2 = 0 AND o_custkey < 4000"))(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.set_listed("X", list(range(0, 4000, 2)))))
+query("q93_soft_delete_by_key", f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_deleted OR o_orderkey = 77 AS o_deleted, o_open, CASE WHEN o_orderkey = 77 THEN o_version + 1 ELSE o_version END AS o_version FROM ({SOFT})")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.drop(77, o_version=_version(t, 77))))
+query("q94_hard_delete_by_key", f"SELECT {S_COLS} FROM ({SOFT}) WHERE NOT o_orderkey = 77")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.erase(77, o_version=_version(t, 77))))
+query("q94_delete_returning", f"SELECT {S_COLS} FROM ({SOFT}) WHERE o_orderkey = 77")(lambda sp, d: _as_frame(SoftOrders(StateTables(sp, _soft(sp, d))), lambda t: t.erase_returning(77, o_version=_version(t, 77))))
+query("q95_delete_all", f"SELECT {S_COLS} FROM ({SOFT}) WHERE o_orderkey NOT IN (1, 2, 3, 500)")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.erase_all([1, 2, 3, 500])))
+query("q96_soft_delete_where", f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_deleted OR (o_totalprice < 90000 AND o_open) AS o_deleted, o_open, CASE WHEN o_totalprice < 90000 AND NOT o_deleted AND o_open THEN o_version + 1 ELSE o_version END AS o_version FROM ({SOFT})")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.drop_where(90000)))
+query("q96_hard_delete_where_unknown_stays", f"SELECT * FROM ({NULLS}) WHERE NOT coalesce(o_totalprice < 200000, false)")(lambda sp, d: _changed(NullableOrders, _nulls(sp, d), lambda t: t.erase_where(200000)))
+query("q96_delete_where_long_list", f"SELECT * FROM ({NULLS}) WHERE NOT coalesce(o_custkey % 3 = 0 AND o_custkey < 6000, false)")(lambda sp, d: _changed(NullableOrders, _nulls(sp, d), lambda t: t.erase_listed(list(range(0, 6000, 3)))))
+query("q96_delete_where_list_with_null", f"SELECT * FROM ({NULLS})")(lambda sp, d: _changed(NullableOrders, _nulls(sp, d), lambda t: t.erase_unlisted([None, *range(0, 6000, 3)])))
 
 
 @query("q96_delete_where_enforced", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE NOT (c_acctbal < 0 AND c_nationkey = 7)")
 def delete_enforced(spark, d):
     with filter_scope(nation=7):
-        where, _ = condition(TenantCustomer, (Where("c_acctbal", Compare.LESS),), (0,))
-        return writes.delete_where(ParquetTables(spark, d).frame(TenantCustomer), _both(enforced(TenantCustomer), where))
+        return _changed(Tenants, ParquetTables(spark, d), lambda t: t.erase_poor(0))
+
+
+def _stale(spark, d):
+    """A change with a token that is not the row's touches nothing; with the right one the row goes."""
+
+    def change(store):
+        version = _version(store, 77)
+        store.erase(77, o_version=version + 1)
+        store.change(o_orderkey=1, o_orderpriority="lost", o_version=_version(store, 1) + 1)
+        store.erase(77, o_version=version)
 
+    return _changed(SoftOrders, _soft(spark, d), change)
 
-query("q97_restore_by_key", f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_deleted AND o_orderkey <> 1 AS o_deleted, o_open, o_version FROM ({SOFT})")(lambda sp, d: _state(sp, d).withColumn("o_deleted", F.when(reads.key_condition(SoftOrder, (1,)), writes.restoration(SoftOrder)["o_deleted"]).otherwise(F.col("o_deleted"))))
-query("q98_optimistic_token", f"SELECT {S_COLS} FROM ({SOFT}) WHERE NOT (o_orderpriority = '4-NOT SPECIFIED' AND o_version = 3)")(lambda sp, d: writes.delete_where(_state(sp, d), (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_version") == 3)))
+
+query("q97_restore_by_key", f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_deleted AND o_orderkey <> 1 AS o_deleted, o_open, o_version FROM ({SOFT})")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.restore(1)))
+query("q98_optimistic_token", f"SELECT {S_COLS} FROM ({SOFT}) WHERE NOT (o_orderpriority = '4-NOT SPECIFIED' AND o_version = 3)")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.run_delete(priority="4-NOT SPECIFIED", version=3)))
+query("q98_stale_token", f"SELECT {S_COLS} FROM ({SOFT}) WHERE o_orderkey <> 77")(_stale)
+query("q104_execute", f"SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice BETWEEN 1000 AND 90000 THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice, CASE WHEN o_totalprice BETWEEN 1000 AND 90000 THEN o_orderpriority || '!' ELSE o_orderpriority END AS o_orderpriority, o_deleted, o_open, o_version FROM ({SOFT})")(lambda sp, d: _changed(SoftOrders, _soft(sp, d), lambda t: t.run_update(low=1000, high=90000, mark="!")))
 
 # hand-written SQL, computed columns, converters
 
@@ -552,6 +673,32 @@ query("q110_computed_column", "SELECT p_partkey, replace(p_brand, 'Brand#', '')
 query("q111_converter", "SELECT p_partkey, replace(p_brand, 'Brand#', '') AS p_brand, p_name || ' / ' || p_type AS p_label, p_name, p_type FROM part WHERE p_brand = 'Brand#4'")(lambda sp, d: Parts(ParquetTables(sp, d)).of_brand("4"))
 
 
+class Priority(Enum):
+    URGENT = "1-URGENT"
+    HIGH = "2-HIGH"
+
+
+class PriorityOrder(Entity, table="named_orders"):
+    o_orderkey = Column("long", key=True)
+    priority = Column("string", converter=as_name(Priority))
+    detail = Column("string", converter=as_json("struct<status:string,customer:bigint>"))
+
+
+class PriorityOrders(s.Store, entity=PriorityOrder):
+    of = s.SelectAllByField("priority")
+    with_detail = s.SelectAllByField("detail")
+
+
+def _named(spark, d):
+    o = ParquetTables(spark, d).frame(Order).where("o_orderpriority in ('1-URGENT', '2-HIGH')")
+    name = F.when(F.col("o_orderpriority") == "1-URGENT", "URGENT").otherwise("HIGH").alias("priority")
+    return FrameTables(spark, {"named_orders": o.select("o_orderkey", name, F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))).alias("detail"))})
+
+
+query("q111_enum_as_name", "SELECT o_orderkey, 'URGENT' AS priority, o_orderstatus AS status FROM orders WHERE o_orderpriority = '1-URGENT'")(lambda sp, d: PriorityOrders(_named(sp, d)).of(Priority.URGENT).select("o_orderkey", "priority", F.col("detail.status").alias("status")))
+query("q111_json_value", "SELECT o_orderkey, o_custkey AS customer FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' AND o_custkey = 22")(lambda sp, d: PriorityOrders(_named(sp, d)).with_detail({"status": "O", "customer": 22}).select("o_orderkey", F.col("detail.customer").alias("customer")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -18,8 +18,8 @@ class FilterValueMissing(QuernError):
 
 
 class ConcurrencyConflict(QuernError):
-    """Another writer has committed first, or a row's token has changed."""
+    """A row's token has changed, or the row is gone."""
 
 
 class StoreError(QuernError):
-    """A call that cannot be carried out: bad arguments, several rows where one was asked for, a closed transaction."""
+    """A call that cannot be carried out: bad arguments, several rows where one was asked for, a key that is there."""

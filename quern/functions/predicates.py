@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
 from functools import reduce
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ..errors import DefinitionError, StoreError
 from .filters import all_of
+from .values import fitting, literal
 
 if TYPE_CHECKING:
     from ..sources.entity import Entity
 
-#: Values of a list up to which membership is part of the predicate; longer lists are joined.
-LIST_JOIN = 1000
+#: Values of a list up to which membership is part of the predicate; longer lists are joined, by broadcast up to a size.
+LIST_JOIN, LIST_BROADCAST = 1000, 1_000_000
 _JSON_PATH = re.compile(r"\$(\.[A-Za-z_][A-Za-z0-9_]*)+\Z")
 
 
@@ -64,6 +66,7 @@ class Membership:
     column: SparkColumn
     kind: str
     values: list
+    stored: Callable[[SparkColumn], SparkColumn] | None = None
 
 
 def check(entity: type[Entity], criteria: tuple[Where, ...]) -> int:
@@ -101,8 +104,7 @@ def _one(entity: type[Entity], w: Where, args: list, joined: list[Membership]) -
         column, kind = F.get_json_object(column, w.json_path), "string"
 
     def value(v):
-        stored = F.lit(v).cast(kind)
-        return declared.converter.to_stored(F.lit(v)) if declared.converter and not w.json_path else stored
+        return literal(v, kind) if w.json_path else declared.stored(v)
 
     op = w.compare
     if op is Compare.IS_NULL:
@@ -111,19 +113,23 @@ def _one(entity: type[Entity], w: Where, args: list, joined: list[Membership]) -
         return column.isNotNull()
     if op in (Compare.IN, Compare.NOT_IN):
         values = list(dict.fromkeys(args[0] or []))
-        if len(values) > LIST_JOIN and None not in values and not declared.converter:
+        if not values:  # an empty list excludes nothing, null rows included
+            return F.lit(op is Compare.NOT_IN)
+        if len(values) > LIST_JOIN:
             marker = f"__in_{len(joined)}"
-            joined.append(Membership(marker, column, kind, values))
-            found = F.col(marker).isNotNull()
-            return found if op is Compare.IN else (~found & column.isNotNull())
-        if op is Compare.IN:
-            return column.isin([value(v) for v in values]) if values else F.lit(False)
-        # an empty list excludes nothing, null rows included; a null in the list leaves no row
-        return ~column.isin([value(v) for v in values]) if values else F.lit(True)
-    a = [value(v) for v in args]
+            converter = None if w.json_path else declared.converter
+            held = [converter.row(v) if converter else v for v in values if v is not None]
+            joined.append(Membership(marker, column, (converter and converter.decoded) or kind, held, converter and converter.to_stored))
+            # null where the column is, and for what a list with a null does not find
+            found = F.when(F.col(marker).isNotNull(), True).when(column.isNotNull() & F.lit(None not in values), False)
+        else:
+            found = column.isin([value(v) for v in values])
+        return found if op is Compare.IN else ~found
     if op is Compare.LIKE or op is Compare.NOT_LIKE:
-        like = column.like(args[0]) if args[0] is not None else F.lit(None).cast("boolean")
+        # a backslash stands for itself: there is no escape
+        like = column.like(args[0].replace("\\", "\\\\")) if args[0] is not None else F.lit(None).cast("boolean")
         return like if op is Compare.LIKE else ~like
+    a = [value(v) for v in args]
     if op is Compare.BETWEEN:
         return column.between(a[0], a[1])
     if op is Compare.NOT_BETWEEN:
@@ -131,24 +137,33 @@ def _one(entity: type[Entity], w: Where, args: list, joined: list[Membership]) -
     return {"=": column.__eq__, "<>": column.__ne__, ">": column.__gt__, ">=": column.__ge__, "<": column.__lt__, "<=": column.__le__}[op.value[0]](a[0])
 
 
+def with_lists(df: DataFrame, joined: list[Membership]) -> DataFrame:
+    """``df`` with the marker column of each long list."""
+    for m in joined:
+        listed = df.sparkSession.createDataFrame([(fitting(v, m.kind),) for v in m.values], f"__v {m.kind}")
+        listed = listed.select((m.stored(F.col("__v")) if m.stored else F.col("__v")).alias("__v")).distinct().withColumn(m.marker, F.lit(True))
+        df = df.join(F.broadcast(listed) if len(m.values) <= LIST_BROADCAST else listed, m.column == F.col("__v"), "left").drop("__v")
+    return df
+
+
 def filtered(df: DataFrame, entity: type[Entity], criteria: tuple[Where, ...], arguments: tuple, around: SparkColumn | None) -> DataFrame:
     """Rows of ``df`` that meet the criteria as a whole, and ``around``, which no OR arm escapes."""
     where, joined = condition(entity, criteria, arguments)
-    columns = df.columns
-    for m in joined:
-        # the list came from the driver, so it is small enough to send to every executor
-        listed = df.sparkSession.createDataFrame([(v,) for v in m.values], f"__v {m.kind}").withColumn(m.marker, F.lit(True))
-        df = df.join(F.broadcast(listed), m.column == F.col("__v"), "left").drop("__v")
     both = all_of([c for c in (around, where) if c is not None])
-    return (df if both is None else df.where(both)).select(*columns)
+    out = with_lists(df, joined)
+    return (out if both is None else out.where(both)).select(*df.columns)
 
 
 def keyset(columns: list[str], values: tuple, descending: bool = False) -> SparkColumn:
-    """Rows after ``values`` in the order of ``columns``: lexicographic by OR, so a null never passes for a small value."""
+    """Rows after ``values`` in the order of ``columns``, in which nulls come first (descending: last), as an OR of arms."""
     arms = []
     for k, name in enumerate(columns):
-        equal = [F.col(c) == F.lit(v) for c, v in zip(columns[:k], values)]
-        beyond = F.col(name) < F.lit(values[k]) if descending else F.col(name) > F.lit(values[k])
+        equal = [F.col(c).isNull() if v is None else F.col(c) == F.lit(v) for c, v in zip(columns[:k], values)]
+        column, value = F.col(name), values[k]
+        if descending:
+            beyond = F.lit(False) if value is None else (column < F.lit(value)) | column.isNull()
+        else:
+            beyond = column.isNotNull() if value is None else column > F.lit(value)
         arms.append(all_of([*equal, beyond]))
     return reduce(lambda a, b: a | b, arms)
 
@@ -158,8 +173,7 @@ def full_text(columns: list[str], term: str) -> SparkColumn:
     words = sorted({w for w in re.split(r"[^a-z0-9]+", term.lower()) if w})
     if not words:
         return F.lit(False)
-    text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
-    tokens = F.split(F.lower(text), "[^a-z0-9]+")
-    # a plain containment test first: it is cheap, and most rows fail it before they are split
-    contained = all_of([F.lower(text).contains(w) for w in words])
-    return contained & all_of([F.array_contains(tokens, w) for w in words])
+    text = F.lower(F.concat_ws(" ", *[F.col(c) for c in columns]))
+    # a plain containment test first: it is cheap, and most rows fail it before the pattern looks at the word's ends
+    whole = [text.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])") for w in words]
+    return all_of([*[text.contains(w) for w in words], *whole])

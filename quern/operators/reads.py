@@ -96,6 +96,6 @@ def equalities(entity: type[Entity], fields: list[str], values: tuple[Any, ...])
     out = None
     for f, v in zip(fields, values):
         c = entity.columns[f]
-        one = F.col(f) == (c.converter.to_stored(F.lit(v)) if c.converter else F.lit(v).cast(c.spark_type))
+        one = F.col(f) == c.stored(v)
         out = one if out is None else out & one
     return out

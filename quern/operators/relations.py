@@ -66,14 +66,21 @@ def related_rows(frames: Frames, parents: DataFrame, parent: type[Entity], name:
     return rows.select(F.col(relation.foreign_key).alias("__parent"), *relation.target.columns)
 
 
-def flat(frames: Frames, parents: DataFrame, parent: type[Entity], name: str) -> DataFrame:
+def _fields(target: type[Entity], fields: tuple[str, ...] | None) -> list[str]:
+    """The columns asked for, or all; keys first, as lists are in their order."""
+    wanted = list(target.columns) if fields is None else [target.column(f).name for f in fields]
+    keys = [k.name for k in target.keys]
+    return [*keys, *[c for c in wanted if c not in keys]]
+
+
+def flat(frames: Frames, parents: DataFrame, parent: type[Entity], name: str, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Parents beside related rows (prefixed ``<relation>_``), one row a pair, and one with nulls where there are none.
 
     This is the form for parents with very many children: the join splits a hot parent, and no list is built.
     """
     relation = parent.relations[name]
     target = relation.target
-    columns = [F.col(c).alias(f"{name}_{c}") for c in target.columns]
+    columns = [F.col(c).alias(f"{name}_{c}") for c in (target.columns if fields is None else _fields(target, fields))]
     if isinstance(relation, BelongsTo):
         rows = active_rows(frames, target).select(*columns)
         return parents.join(rows, F.col(relation.foreign_key) == F.col(f"{name}_{target.keys[0].name}"), "left")
@@ -81,22 +88,23 @@ def flat(frames: Frames, parents: DataFrame, parent: type[Entity], name: str) ->
     return parents.join(rows, F.col(parent.keys[0].name) == F.col("__parent"), "left").drop("__parent")
 
 
-def eager(frames: Frames, parents: DataFrame, parent: type[Entity], names: tuple[str, ...]) -> DataFrame:
+def eager(frames: Frames, parents: DataFrame, parent: type[Entity], names: tuple[str, ...], fields: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Parents with a column for each relation: a list of structs by the related key, or one struct, or null.
 
-    Children are gathered by their parent's key after they are filtered; a parent without any has an empty list.
+    Children are gathered by their parent's key after they are filtered, and with the ``fields`` of their relation only, so
+    nothing else is shuffled; a parent without any has an empty list. A list lies in one row: where a parent may have more
+    children than a row should hold, ``flat`` is the form to take.
     """
     out = parents
     for name in names:
         relation = parent.relations[name]
-        target = relation.target
+        columns = _fields(relation.target, (fields or {}).get(name))
         if isinstance(relation, BelongsTo):
-            rows = active_rows(frames, target).select(F.col(target.keys[0].name).alias("__key"), F.struct(*target.columns).alias(name))
+            key = relation.target.keys[0].name
+            rows = active_rows(frames, relation.target).select(F.col(key).alias("__key"), F.struct(*columns).alias(name))
             out = out.join(rows, out[relation.foreign_key] == rows["__key"], "left").drop("__key")
         else:
-            first = [k.name for k in target.keys]
-            items = F.struct(*first, *[c for c in target.columns if c not in first])
-            rows = related_rows(frames, parents, parent, name).groupBy("__parent").agg(F.sort_array(F.collect_list(items)).alias(name))
+            rows = related_rows(frames, parents, parent, name).groupBy("__parent").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
             out = out.join(rows, out[parent.keys[0].name] == rows["__parent"], "left").drop("__parent")
             out = out.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
     return out

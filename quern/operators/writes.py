@@ -1,11 +1,11 @@
-"""Changes as functions of a table's state: each returns the state after, and says which rows it touches.
+"""Changes as functions of a table's state: FLAG marks the rows that are touched, and the state after follows from the marked one.
 
 A deletion keeps rows for which its predicate is unknown; an update changes only rows for which it is true.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..errors import StoreError
 from ..functions.filters import enforced
 from ..functions.guid import sequential_guid
+from ..functions.values import literal
 from ..sources.entity import Entity
-
-FLAG = "__hit"
+from ..sources.states import FLAG
 
 
 def sure(condition: SparkColumn | None) -> SparkColumn:
@@ -24,7 +24,7 @@ def sure(condition: SparkColumn | None) -> SparkColumn:
 
 
 def _time(c, now: datetime) -> SparkColumn:
-    return F.lit(now).cast(c.spark_type)
+    return literal(now if c.spark_type == "timestamp" else now.astimezone(UTC).replace(tzinfo=None) if now.tzinfo else now, c.spark_type)
 
 
 def stamped(entity: type[Entity], rows: DataFrame, now: datetime, user: str | None, inserting: bool) -> DataFrame:
@@ -58,47 +58,34 @@ def with_computed(entity: type[Entity], df: DataFrame) -> DataFrame:
     return df
 
 
-def stamped_keys(rows: DataFrame, key: str, first: int) -> DataFrame:
-    """Keys from ``first`` on for rows without one: a counter within each partition behind the sizes of those before."""
-    from pyspark.sql import Window
-
-    part = rows.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    sizes = part.groupBy("__part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    own = F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33)
-    filled = part.join(F.broadcast(starts), "__part").withColumn(key, F.coalesce(F.col(key), (F.lit(first) + F.col("__start") + own).cast(rows.schema[key].dataType)))
-    return filled.drop("__part", "__id", "__start")
-
+def marked(state: DataFrame, condition: SparkColumn | None) -> DataFrame:
+    return state.withColumn(FLAG, sure(condition))
 
-def insert(state: DataFrame, new: DataFrame) -> DataFrame:
-    return state.unionByName(new)
 
-
-def update_where(entity: type[Entity], state: DataFrame, condition: SparkColumn | None, values: dict[str, SparkColumn], now: datetime, user: str | None) -> DataFrame:
-    """The given columns, the token and the modification stamps, in rows where ``condition`` is true."""
-    hit = sure(condition)
+def with_set(entity: type[Entity], state: DataFrame, values: dict[str, SparkColumn], now: datetime | None = None, user: str | None = None) -> DataFrame:
+    """The given columns, and if a time is given the token and the modification stamps, set in the marked rows."""
     sets = dict(values)
-    for c in entity.columns.values():
+    for c in entity.columns.values() if now else ():
         if c.token:
             sets[c.name] = F.col(c.name) + 1
         elif c.audit == "modified_at":
             sets[c.name] = _time(c, now)
         elif c.audit == "modified_by":
             sets[c.name] = F.lit(user).cast("string")
-    marked = state.withColumn(FLAG, hit)
-    out = marked.select(*[F.when(F.col(FLAG), sets[c.name]).otherwise(F.col(c.name)).cast(c.spark_type).alias(c.name) if c.name in sets else F.col(c.name) for c in entity.columns.values()])
+    out = state.select(*[F.when(F.col(FLAG), sets[c.name]).otherwise(F.col(c.name)).cast(c.spark_type).alias(c.name) if c.name in sets else F.col(c.name) for c in entity.columns.values()])
     return with_computed(entity, out)
 
 
-def delete_where(state: DataFrame, condition: SparkColumn | None) -> DataFrame:
-    return state.where(~sure(condition))
+def without(state: DataFrame) -> DataFrame:
+    """The rows that are not marked."""
+    return state.where(~F.col(FLAG)).drop(FLAG)
 
 
 def deletion(entity: type[Entity], now: datetime) -> dict[str, SparkColumn]:
-    """What a soft deletion sets."""
+    """What a soft deletion sets, the token too."""
     c = next(c for c in entity.columns.values() if c.soft_delete)
-    return {c.name: F.lit(True) if c.spark_type == "boolean" else _time(c, now)}
+    token = {t.name: F.col(t.name) + 1 for t in entity.columns.values() if t.token}
+    return {c.name: F.lit(True) if c.spark_type == "boolean" else _time(c, now)} | token
 
 
 def restoration(entity: type[Entity]) -> dict[str, SparkColumn]:
@@ -106,49 +93,62 @@ def restoration(entity: type[Entity]) -> dict[str, SparkColumn]:
     return {c.name: F.lit(False) if c.spark_type == "boolean" else F.lit(None).cast(c.spark_type)}
 
 
-def flag_deleted(entity: type[Entity], state: DataFrame, condition: SparkColumn | None, now: datetime) -> DataFrame:
-    hit, sets = sure(condition), deletion(entity, now)
-    token = [c.name for c in entity.columns.values() if c.token]
-    sets |= {t: F.col(t) + 1 for t in token}
-    return state.select(*[F.when(hit, sets[c]).otherwise(F.col(c)).cast(entity.columns[c].spark_type).alias(c) if c in sets else F.col(c) for c in entity.columns])
+def one_row_a_key(entity: type[Entity], rows: DataFrame) -> None:
+    """Refuses a batch that has several rows with one key, or a row without one."""
+    keys = [k.name for k in entity.keys]
+    bad = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(" or ".join(["n > 1", *[f"`{k}` is null" for k in keys]])).first()
+    if bad:
+        raise StoreError(f"the batch has {bad['n']} rows with key {tuple(bad[k] for k in keys)}")
 
 
-def _one_row_a_key(entity: type[Entity], rows: DataFrame) -> None:
+def new_keys(entity: type[Entity], state: DataFrame, rows: DataFrame) -> None:
+    """Refuses rows whose key the batch has twice or the table has already: only keys are read."""
+    one_row_a_key(entity, rows)
     keys = [k.name for k in entity.keys]
-    twice = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-    if twice:
-        raise StoreError(f"the batch has several rows with key {tuple(twice[0][k] for k in keys)}")
+    there = state.select(*keys).join(rows.select(*keys), keys, "left_semi").first()
+    if there:
+        raise StoreError(f"{entity.table} has a row with key {tuple(there)} already")
 
 
-def hits_by_key(entity: type[Entity], state: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``state`` whose key is in ``keys`` and that the filters enforced on writes let through."""
-    own = enforced(entity)
-    state = state if own is None else state.where(own)
-    return state.join(keys.select(*[k.name for k in entity.keys]), [k.name for k in entity.keys], "left_semi")
+def marked_by_keys(entity: type[Entity], state: DataFrame, keys: DataFrame) -> DataFrame:
+    """Marks rows whose key is among ``keys`` (each once) and that the filters enforced on writes let through."""
+    names = [k.name for k in entity.keys]
+    out = state.join(keys.select(*names, F.lit(True).alias(FLAG)), names, "left")
+    return out.withColumn(FLAG, sure(F.col(FLAG)) & sure(enforced(entity))).select(*entity.columns, FLAG)
 
 
-def update_rows(entity: type[Entity], state: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of ``state`` replaced, in their updatable columns, by the row of ``rows`` with their key."""
-    _one_row_a_key(entity, rows)
-    keys = [k.name for k in entity.keys]
-    sets = [c for c in entity.columns.values() if c.updatable and not c.soft_delete and c.name in rows.columns]
-    given = rows.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(c.name).alias(f"__v_{c.name}") for c in sets], F.lit(True).alias(FLAG))
-    on = [F.col(k) == F.col(f"__k_{k}") for k in keys]
-    hit = sure(F.col(FLAG)) & sure(enforced(entity))
-    joined = state.join(given, on, "left").withColumn("__on", hit)
-    names = {c.name for c in sets}
-    out = joined.select(*[F.when(F.col("__on"), F.col(f"__v_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in entity.columns])
-    return with_computed(entity, out)
+def marked_beside(entity: type[Entity], state: DataFrame, rows: DataFrame) -> DataFrame:
+    """The state beside the new values of ``rows``, joined once by key; marked as in ``marked_by_keys``."""
+    names = [k.name for k in entity.keys]
+    given = rows.select(*names, *[F.col(c.name).alias(f"__v_{c.name}") for c in _settable(entity, rows)], F.lit(True).alias(FLAG))
+    return state.join(given, names, "left").withColumn(FLAG, sure(F.col(FLAG)) & sure(enforced(entity)))
 
 
-def upsert_rows(entity: type[Entity], state: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of ``rows`` in place of those with their key, keeping creation stamps; others added."""
-    _one_row_a_key(entity, rows)
-    keys = [k.name for k in entity.keys]
-    kept = [c.name for c in entity.columns.values() if not c.updatable and c.name not in keys and not c.computed]
-    if not any(c.updatable for c in entity.columns.values()):  # nothing to set: rows that are there stay
-        return state.unionByName(rows.join(state.select(*keys), keys, "left_anti"))
-    old = state.select(*keys, *[F.col(c).alias(f"__o_{c}") for c in kept], F.lit(True).alias(FLAG))
-    merged = rows.join(old, keys, "left")
-    merged = merged.select(*[F.when(sure(F.col(FLAG)), F.col(f"__o_{c}")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in entity.columns])
-    return with_computed(entity, state.join(rows.select(*keys), keys, "left_anti").unionByName(merged))
+def _settable(entity: type[Entity], rows: DataFrame) -> list:
+    return [c for c in entity.columns.values() if c.updatable and not c.soft_delete and c.name in rows.columns]
+
+
+def with_values(entity: type[Entity], state: DataFrame) -> DataFrame:
+    """Marked rows of ``marked_beside`` with their new values."""
+    return with_set(entity, state, {c: F.col(f"__v_{c}") for c in entity.columns if f"__v_{c}" in state.columns})
+
+
+def merged(entity: type[Entity], state: DataFrame, rows: DataFrame) -> DataFrame:
+    """State and ``rows`` in one full join by key, marked where ``rows`` has the key."""
+    names = [k.name for k in entity.keys]
+    old = state.select(*names, *[F.col(c).alias(f"__o_{c}") for c in entity.columns if c not in names], F.lit(True).alias("__old"))
+    return old.join(rows.withColumn(FLAG, F.lit(True)), names, "full").withColumn(FLAG, sure(F.col(FLAG)))
+
+
+def with_rows(entity: type[Entity], state: DataFrame) -> DataFrame:
+    """Rows of ``merged`` after an upsert: those given, keeping creation stamps of rows that were there, beside the others."""
+    names = [k.name for k in entity.keys]
+    sets = any(c.updatable for c in entity.columns.values())  # nothing to set: rows that are there stay
+
+    def column(c):
+        if c.name in names:
+            return F.col(c.name)
+        stays = ~F.col(FLAG) if c.updatable and sets else sure(F.col("__old"))
+        return F.when(stays, F.col(f"__o_{c.name}")).otherwise(F.col(c.name)).alias(c.name)
+
+    return with_computed(entity, state.select(*[column(c) for c in entity.columns.values()]))

@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column as SparkColumn
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ConcurrencyConflict, DefinitionError, StoreError
 from ..functions.filters import active, all_of, check_ignored, enforced
-from ..functions.predicates import Where, check, condition, filtered, full_text
+from ..functions.predicates import Where, check, condition, filtered, full_text, with_lists
+from ..functions.values import fitting
 from ..operators import adhoc, aggregates, reads, relations, writes
 from ..sources.entity import BelongsTo, Entity, ManyToMany, Projection
 from .hooks import Hooks
@@ -228,9 +228,9 @@ class Aggregate(Read):
         c = entity.column(self.column)
         self.column = c.name
         if self.function not in aggregates.FUNCTIONS:
-            raise DefinitionError("E046", f"{self.name}: no such aggregate: {self.function}")
+            raise DefinitionError("E028", f"{self.name}: no such aggregate: {self.function}")
         if self.function in ("sum", "avg") and c.spark_type in ("string", "boolean", "binary", "date") or c.spark_type.startswith("timestamp") and self.function in ("sum", "avg"):
-            raise DefinitionError("E047", f"{self.name}: {self.function} needs numbers")
+            raise DefinitionError("E029", f"{self.name}: {self.function} needs numbers")
 
     def run(self, store):
         return aggregates.aggregate(reads.where(store.rows(), self.active(store)), self.function, self.column)
@@ -265,19 +265,24 @@ class FullTextSearch(Read):
 
 
 class SelectAllEager(Read):
-    """All rows with related ones in columns; see ``relations.eager``. ``include_deleted`` is for the parents only."""
+    """All rows with related ones in columns; see ``relations.eager``. ``include_deleted`` is for the parents only.
 
-    def __init__(self, *names: str, **options):
+    ``fields`` names, for a relation, the columns of its rows that are wanted.
+    """
+
+    def __init__(self, *names: str, fields: dict[str, tuple[str, ...]] | None = None, **options):
         super().__init__(**options)
-        self.names = names
+        self.names, self.fields = names, fields or {}
 
     def define(self, entity):
         super().define(entity)
         if self.ignore:
             raise DefinitionError("E091", f"{self.name}: eager reads bypass no filter")
-        for n in self.names:
+        for n in (*self.names, *self.fields):
             if n not in entity.relations:
                 raise DefinitionError("E040", f"{entity.__name__} has no relation {n}")
+            for f in self.fields.get(n, ()):
+                entity.relations[n].target.column(f)
             relation = entity.relations[n]
             if not isinstance(relation, BelongsTo) and len(entity.keys) != 1:
                 raise DefinitionError("E012", f"{self.name}: related rows are gathered by one key column")
@@ -290,10 +295,10 @@ class SelectAllEager(Read):
         return reads.where(store.rows(), self.active(store))
 
     def run(self, store):
-        return relations.eager(store.tables.frame, self.parents(store), store.entity, self.names)
+        return relations.eager(store.tables.frame, self.parents(store), store.entity, self.names, self.fields)
 
     def flat(self, store, name: str) -> DataFrame:
-        return relations.flat(store.tables.frame, self.parents(store), store.entity, name)
+        return relations.flat(store.tables.frame, self.parents(store), store.entity, name, self.fields.get(name))
 
 
 class SelectOneEager(SelectAllEager):
@@ -301,7 +306,7 @@ class SelectOneEager(SelectAllEager):
 
     def run(self, store, *key):
         one = reads.where(self.parents(store), reads.key_condition(store.entity, key)).limit(1)
-        return relations.eager(store.tables.frame, one, store.entity, self.names)
+        return relations.eager(store.tables.frame, one, store.entity, self.names, self.fields)
 
 
 class SelectRelated(Read):
@@ -330,78 +335,49 @@ class SelectRelated(Read):
 class Write(Operation):
     writes = True
 
-    def change(self, store, touched, change) -> None:
-        store.tables.rewrite(store.entity, touched, change)
-
-    def count(self, df: DataFrame) -> int:
-        return adhoc.scalar(aggregates.count(df), 0)
-
-    def by_condition(self, store, where: SparkColumn | None, change) -> int:
-        """Rewrite what ``where`` touches; the number of rows it touched before."""
-        with store.transaction():
-            n = self.count(store.rows().where(writes.sure(where)))
-            if n:
-                self.change(store, lambda df: df.where(writes.sure(where)), change)
-        return n
-
-
-def _values(store, values: dict[str, Any]) -> DataFrame:
-    entity = store.entity
-    fields = [c for c in entity.columns.values() if c.name in values or c.attribute in values]
-    unknown = set(values) - {c.name for c in fields} - {c.attribute for c in fields}
-    if unknown:
-        raise StoreError(f"{entity.__name__} has no columns {sorted(unknown)}")
-    types = ", ".join(f"`{c.name}` {'string' if c.converter and isinstance(values.get(c.name), str) else c.spark_type}" for c in fields)
-    return store.spark.createDataFrame([tuple(_fitting(values.get(c.name, values.get(c.attribute)), c.spark_type) for c in fields)], types)
-
-
-def _fitting(value: Any, kind: str) -> Any:
-    """A Python number as the type that Spark wants for a column of ``kind``."""
-    if value is None or isinstance(value, bool):
-        return value
-    if kind.startswith("decimal"):
-        return Decimal(str(value))
-    return float(value) if kind in ("float", "double") else value
+    def touch(self, store, where: SparkColumn | None, finish, lists=()) -> int:
+        """The state after ``finish`` of the rows that meet ``where``; how many they are."""
+        return store.changeable().replace(store.entity, writes.marked(with_lists(store.rows(), lists), where), finish)
 
 
 class Insert(Write):
-    """One row, given by its columns; ``returning`` gives the stored row instead of a count."""
+    """One row, given by its columns: its number, or with ``returning`` the row as stored. A key that is there is refused."""
 
     def __init__(self, returning: bool = False):
         self.returning = returning
 
     def run(self, store, **values):
-        return store.insert_frame(_values(store, values), self.returning)
+        return store.insert_frame(store.as_frame([values]), self.returning)
 
 
 class InsertAll(Write):
-    """All rows of a frame or list in one version; an empty one changes nothing."""
+    """All rows of a frame or list, or none: a key that is there, or twice in the batch, is refused. Files are only added."""
 
     def run(self, store, rows):
         return store.insert_frame(store.as_frame(rows))
 
 
-class BulkInsert(InsertAll):
-    pass
+#: A batch of any size is one write of Spark's, so a bulk insert is the same operation.
+BulkInsert = InsertAll
 
 
 class Update(Write):
-    """One row by its key, and its token if it has one: whether a row was changed."""
+    """One row by its key, and its token if it has one: whether a row was changed, or with ``returning`` the row after."""
+
+    keyed = True
 
     def __init__(self, returning: bool = False):
         self.returning = returning
 
-    keyed = True
-
     def run(self, store, **values):
         entity = store.entity
-        keys = tuple(values[k.name] for k in entity.keys)
-        where = store.key_write(keys, values)
-        sets = {c.name: c.converter.to_stored(F.lit(values[c.name])) if c.converter else F.lit(values[c.name]) for c in entity.columns.values() if c.name in values and c.updatable and not c.soft_delete}
+        given = store.named(values)
+        keys = store.key_of(given)
+        sets = {c.name: c.stored(given[c.name]) for c in entity.columns.values() if c.name in given and c.updatable and not c.soft_delete}
         now = store.now()
-        n = self.by_condition(store, where, lambda df: writes.update_where(entity, df, where, sets, now, store.options.user))
+        n = self.touch(store, store.key_write(keys, given), lambda df: writes.with_set(entity, df, sets, now, store.options.user))
         if self.returning:
-            return store.rows().where(reads.key_condition(entity, keys)).first() if n else store.lost(None)
+            return reads.shown(store.rows().where(reads.key_condition(entity, keys)), entity, None).first() if n else store.lost(None)
         return True if n else store.lost(False)
 
 
@@ -413,14 +389,12 @@ class UpdateAll(Write):
             raise DefinitionError("E022", f"{self.name}: rows with a token are updated one by one")
 
     def run(self, store, rows) -> int:
-        entity, now = store.entity, store.now()
+        entity = store.entity
         given = store.as_frame(rows)
-        given = writes.stamped(entity, given, now, store.options.user, False).select(*[c for c in entity.columns if c in given.columns or entity.columns[c].audit in ("modified_at", "modified_by")])
-        with store.transaction():
-            n = self.count(writes.hits_by_key(entity, store.rows(), given))
-            if n:
-                self.change(store, lambda df: writes.hits_by_key(entity, df, given), lambda df: writes.update_rows(entity, df, given))
-        return n
+        stamped = ("modified_at", "modified_by")
+        given = writes.stamped(entity, given, store.now(), store.options.user, False).select(*[c for c in entity.columns if c in given.columns or entity.columns[c].audit in stamped])
+        writes.one_row_a_key(entity, given)
+        return store.changeable().replace(entity, writes.marked_beside(entity, store.rows(), given), lambda df: writes.with_values(entity, df))
 
 
 class UpdateWhere(Write):
@@ -435,21 +409,21 @@ class UpdateWhere(Write):
         self.columns = tuple(entity.column(c).name for c in self.columns)
         for c in self.columns:
             if not entity.columns[c].updatable or entity.columns[c].soft_delete:
-                raise DefinitionError("E044", f"{self.name}: {c} cannot be set")
+                raise DefinitionError("E027", f"{self.name}: {c} cannot be set")
         check(entity, self.criteria)
 
     def run(self, store, *args) -> int:
         entity, n = store.entity, len(self.columns)
         where, lists = condition(entity, self.criteria, args[n:])
-        if lists:
-            raise StoreError("write by key batches instead of lists this long")
         where = all_of([c for c in (active(entity), where) if c is not None])
-        sets = {c: entity.columns[c].converter.to_stored(F.lit(v)) if entity.columns[c].converter else F.lit(v) for c, v in zip(self.columns, args)}
+        sets = {c: entity.columns[c].stored(v) for c, v in zip(self.columns, args)}
         now = store.now()
-        return self.by_condition(store, where, lambda df: writes.update_where(entity, df, where, sets, now, store.options.user))
+        return self.touch(store, where, lambda df: writes.with_set(entity, df, sets, now, store.options.user), lists)
 
 
 class Upsert(Write):
+    """Rows in place of those with their key, others added; a batch with a key twice is refused."""
+
     keyed = True
 
     def define(self, entity):
@@ -459,22 +433,18 @@ class Upsert(Write):
             raise DefinitionError("E095", f"{self.name}: a filter enforced on writes forbids upserts")
 
     def run(self, store, rows=None, **values) -> int:
-        entity, now = store.entity, store.now()
-        given = store.as_frame(rows) if rows is not None else _values(store, values)
-        made = [k.name for k in entity.keys if k.generated]
-        full = writes.stamped(entity, given, now, store.options.user, True)
-        with store.transaction():
-            n = self.count(full)
-            if made:  # rows without a key are plain inserts
-                store.append(full.where(F.col(made[0]).isNull()))
-                full = full.where(F.col(made[0]).isNotNull())
-            known = [k.name for k in entity.keys]
-            before = store.rows().select(*known)
-            fresh = full.join(before, known, "left_anti")
-            present = full.join(before, known, "left_semi")
-            self.change(store, lambda df: df.join(present.select(*known), known, "left_semi"), lambda df: writes.upsert_rows(entity, df, present.join(df.select(*known), known, "left_semi")))
-            store.append(fresh)
-        return n
+        entity = store.entity
+        given = store.as_frame(rows) if rows is not None else store.as_frame([values])
+        full = writes.stamped(entity, given, store.now(), store.options.user, True)
+        made = [k.name for k in entity.keys if k.generated or k.sequential_guid]
+        fresh = None
+        if made:  # rows without a key are plain inserts
+            missing = F.col(made[0]).isNull() if made[0] in given.columns else F.lit(True)
+            fresh, given = given.where(missing), given.where(~missing)
+            full = writes.stamped(entity, given, store.now(), store.options.user, True)
+        writes.one_row_a_key(entity, full)
+        n = store.changeable().replace(entity, writes.merged(entity, store.rows(), full), lambda df: writes.with_rows(entity, df))
+        return n + (store.insert_frame(fresh) if fresh is not None else 0)
 
 
 class Delete(Write):
@@ -486,18 +456,17 @@ class Delete(Write):
         self.hard, self.returning = hard, returning
 
     def run(self, store, *key, **values):
-        entity = store.entity
-        keys = key or tuple(values[k.name] for k in entity.keys)
-        where = store.key_write(tuple(keys), values)
-        before = store.rows().where(writes.sure(where)).first() if self.returning else None
-        n = self.by_condition(store, where, store.removal(where, self.hard))
+        given = store.named(values)
+        where = store.key_write(tuple(key) or store.key_of(given), given)
+        before = reads.shown(store.rows().where(writes.sure(where)), store.entity, None).first() if self.returning else None
+        n = self.touch(store, where, store.removal(self.hard))
         if self.returning:
             return before if n else store.lost(None)
         return True if n else store.lost(False)
 
 
 class DeleteAll(Write):
-    """Rows whose single-column key is in the list."""
+    """Rows whose single-column key is in the list, or in the one column of a frame."""
 
     keyed = True
 
@@ -508,23 +477,13 @@ class DeleteAll(Write):
         if len(entity.keys) != 1:
             raise DefinitionError("E024", f"{self.name}: keys are listed by one column")
 
-    def run(self, store, keys: list) -> int:
+    def run(self, store, keys) -> int:
         entity = store.entity
         k = entity.keys[0]
-        given = store.spark.createDataFrame([(v,) for v in set(keys)], f"`{k.name}` {k.spark_type}")
-        now = store.now()
-
-        def change(df: DataFrame) -> DataFrame:
-            marked = df.join(writes.hits_by_key(entity, df, given).select(k.name, F.lit(True).alias(writes.FLAG)).distinct(), k.name, "left")
-            if store.soft and not self.hard:
-                return writes.flag_deleted(entity, marked, F.col(writes.FLAG), now)
-            return marked.where(~writes.sure(F.col(writes.FLAG))).select(*entity.columns)
-
-        with store.transaction():
-            n = self.count(writes.hits_by_key(entity, store.rows(), given)) if keys else 0
-            if n:
-                self.change(store, lambda df: writes.hits_by_key(entity, df, given), change)
-        return n
+        if not isinstance(keys, DataFrame):
+            keys = store.spark.createDataFrame([(fitting(v, k.spark_type),) for v in set(keys)], f"`{k.name}` {k.spark_type}")
+        given = keys.toDF(k.name).distinct()
+        return store.changeable().replace(entity, writes.marked_by_keys(entity, store.rows(), given), store.removal(self.hard))
 
 
 class DeleteWhere(Write):
@@ -538,11 +497,9 @@ class DeleteWhere(Write):
 
     def run(self, store, *args) -> int:
         where, lists = condition(store.entity, self.criteria, args)
-        if lists:
-            raise StoreError("write by key batches instead of lists this long")
         around = active(store.entity) if store.soft and not self.hard else enforced(store.entity)
         where = all_of([c for c in (around, where) if c is not None])
-        return self.by_condition(store, where, store.removal(where, self.hard))
+        return self.touch(store, where, store.removal(self.hard), lists)
 
 
 class Restore(Write):
@@ -555,13 +512,30 @@ class Restore(Write):
     def run(self, store, *key) -> bool:
         entity = store.entity
         where = all_of([c for c in (reads.key_condition(entity, key), enforced(entity)) if c is not None])
-        sets = writes.restoration(entity)
+        return self.touch(store, where, lambda df: writes.with_set(entity, df, writes.restoration(entity))) > 0
 
-        def change(df):
-            hit = writes.sure(where)
-            return df.select(*[F.when(hit, sets[c]).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in entity.columns])
 
-        return self.by_condition(store, where, change) > 0
+class Execute(Write):
+    """A change as SQL text: an expression for which rows, and one for each column to set; without those, rows are removed.
+
+    ``:name`` parameters are bound, never spliced. Nothing is added to the text: filters and deletion flags are its own affair.
+    """
+
+    def __init__(self, where: str, **sets: str):
+        self.where, self.sets = where, sets
+
+    def define(self, entity):
+        for c in self.sets:
+            if entity.column(c).computed or entity.column(c).key:
+                raise DefinitionError("E027", f"{self.name}: {c} cannot be set")
+
+    def run(self, store, **parameters) -> int:
+        entity = store.entity
+        names = {entity.column(c).name: text for c, text in self.sets.items()}
+        new = ", ".join(f"({text}) AS `__v_{c}`" for c, text in names.items())
+        marked = adhoc.query(store.spark, f"SELECT *, coalesce({self.where}, false) AS `{writes.FLAG}`{', ' + new if new else ''} FROM {{state}}", frames={"state": store.rows()}, **parameters)
+        finish = (lambda df: writes.with_values(entity, df)) if names else writes.without
+        return store.changeable().replace(entity, marked, finish)
 
 
 def named_fields(name: str) -> list[str]:
@@ -612,41 +586,49 @@ class Store:
         return type(self).operations[operation].frame(self, *args, **kwargs)
 
     def now(self) -> datetime:
-        return datetime.now(UTC).replace(tzinfo=None)
+        return datetime.now(UTC)
 
-    def transaction(self):
-        if not hasattr(self.tables, "transaction"):
+    def changeable(self):
+        if not hasattr(self.tables, "replace"):
             raise StoreError("these tables are only read")
-        return self.tables.transaction()
+        return self.tables
+
+    def named(self, values: dict[str, Any]) -> dict[str, Any]:
+        """Values by column, whether they are given by column or by attribute; other names are refused."""
+        known = {c.attribute: c.name for c in self.entity.columns.values()} | {c: c for c in self.entity.columns}
+        unknown = sorted(set(values) - set(known))
+        if unknown:
+            raise StoreError(f"{self.entity.__name__} has no columns {unknown}")
+        return {known[n]: v for n, v in values.items()}
+
+    def key_of(self, values: dict[str, Any]) -> tuple:
+        missing = [k.name for k in self.entity.keys if k.name not in values]
+        if missing:
+            raise StoreError(f"{self.entity.__name__} is written by key; {missing} must be given")
+        return tuple(values[k.name] for k in self.entity.keys)
 
     def as_frame(self, rows) -> DataFrame:
+        """Rows as a frame of the columns that any of them gives; columns that the entity has not are refused."""
         if isinstance(rows, DataFrame):
-            return rows
-        names = [c for c in self.entity.columns if any(c in r for r in rows)]
-        kinds = [self.entity.columns[c].spark_type for c in names]
-        return self.spark.createDataFrame([tuple(_fitting(r.get(c), k) for c, k in zip(names, kinds)) for r in rows], ", ".join(f"`{c}` {self.entity.columns[c].spark_type}" for c in names) or "__none int")
+            named = self.named({c: None for c in rows.columns})
+            return rows.toDF(*named)
+        given = [self.named(r) for r in rows]
+        columns = [c for n, c in self.entity.columns.items() if any(n in r for r in given)]
+        types = [(c.converter and c.converter.decoded) or c.spark_type for c in columns]
 
-    def next_key(self) -> int:
-        key = next(k.name for k in self.entity.keys if k.generated)
-        return (adhoc.scalar(self.rows().agg(F.max(key)), 0) or 0) + 1
+        def value(c, kind, v):
+            return c.converter.row(v) if c.converter else fitting(v, kind)
 
-    def append(self, rows: DataFrame) -> None:
-        made = [k.name for k in self.entity.keys if k.generated]
-        if made:
-            rows = writes.stamped_keys(rows, made[0], self.next_key())
-        self.tables.append(self.entity, rows)
+        data = [tuple(value(c, t, r.get(c.name)) for c, t in zip(columns, types)) for r in given]
+        return self.spark.createDataFrame(data, ", ".join(f"`{c.name}` {t}" for c, t in zip(columns, types)) or "__none int")
 
     def insert_frame(self, given: DataFrame, returning: bool = False):
         entity = self.entity
         full = writes.stamped(entity, given, self.now(), self.options.user, True)
-        before = {e: set(v["files"]) for e, v in self.tables._state().items()}.get(entity.table, set())
-        with self.transaction():
-            self.append(full)
-            entry = self.tables._state()[entity.table]
-            added = self.tables._read({"schema": entry["schema"], "files": [f for f in entry["files"] if f not in before]})
-            if returning:
-                return added.first()
-            return adhoc.scalar(aggregates.count(added), 0)
+        found = self.changeable().append(entity, full, lambda rows: writes.new_keys(entity, self.rows(), rows), returning)
+        if not returning or found is None:
+            return found
+        return reads.shown(self.spark.createDataFrame([found], full.schema), entity, None).first()
 
     def key_write(self, keys: tuple, values: dict[str, Any]) -> SparkColumn:
         """Key, token if the entity has one, and the filters enforced on writes."""
@@ -655,15 +637,14 @@ class Store:
             if c.token:
                 if c.name not in values:
                     raise StoreError(f"{c.name} must be given: a row with a token is written with it")
-                parts.append(F.col(c.name) == F.lit(values[c.name]))
+                parts.append(F.col(c.name) == c.stored(values[c.name]))
         own = enforced(self.entity)
         return all_of(parts + ([own] if own is not None else []))
 
-    def removal(self, where: SparkColumn | None, hard: bool):
-        now = self.now()
-        if self.soft and not hard:
-            return lambda df: writes.flag_deleted(self.entity, df, where, now)
-        return lambda df: writes.delete_where(df, where)
+    def removal(self, hard: bool):
+        """What becomes of marked rows: flagged as deleted, or gone."""
+        sets = writes.deletion(self.entity, self.now()) if self.soft and not hard else None
+        return writes.without if sets is None else lambda df: writes.with_set(self.entity, df, sets)
 
     def lost(self, result):
         if self.options.throw_on_conflict and any(c.token for c in self.entity.columns.values()):

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from enum import Enum
+from typing import Any
 
 from pyspark.sql import Column as SparkColumn
+from pyspark.sql import functions as F
 
 from ..errors import DefinitionError
 from ..functions.filters import GlobalFilter
+from ..functions.values import literal
 
 #: Logical types by their Spark type; unsigned ones are widened, so that they order by value.
 TYPES = {
@@ -24,10 +29,31 @@ AUDIT = ("created_at", "created_by", "modified_at", "modified_by")
 
 @dataclass(frozen=True)
 class Converter:
-    """How a value is stored: both directions are column expressions, so they stay inside the plan."""
+    """How a value is stored: both directions are column expressions, so they stay inside the plan.
+
+    ``decoded`` is the type of a decoded value (None: the column's own); ``of`` makes a decoded column of a Python value, and
+    ``row`` what stands for that value in a row.
+    """
 
     to_stored: Callable[[SparkColumn], SparkColumn]
     from_stored: Callable[[SparkColumn], SparkColumn]
+    decoded: str | None = None
+    of: Callable[[Any], SparkColumn] = F.lit
+    row: Callable[[Any], Any] = lambda v: v
+
+
+def as_json(schema: str) -> Converter:
+    """Values of a Spark type, kept as JSON text; Python values are dicts and lists."""
+    return Converter(F.to_json, lambda c: F.from_json(c, schema), schema, lambda v: F.from_json(F.lit(None if v is None else json.dumps(v)), schema))
+
+
+def as_name(kind: type[Enum]) -> Converter:
+    """Members of an enum, kept as their names; a name that the enum has not is refused before anything runs."""
+
+    def name(v: Any) -> str | None:
+        return v if v is None else v.name if isinstance(v, Enum) else kind[v].name
+
+    return Converter(lambda c: c, lambda c: c, "string", lambda v: F.lit(name(v)), name)
 
 
 @dataclass
@@ -58,6 +84,10 @@ class Column:
     def spark_type(self) -> str:
         return TYPES.get(self.type, self.type)
 
+    def stored(self, value: Any) -> SparkColumn:
+        """A Python value as a column that holds it as it is stored."""
+        return self.converter.to_stored(self.converter.of(value)).cast(self.spark_type) if self.converter else literal(value, self.spark_type)
+
     @property
     def insertable(self) -> bool:
         return not (self.generated or self.computed or self.store_default)

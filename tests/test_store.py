@@ -1,6 +1,7 @@
 """Declared stores: definition errors, reads, pages, filters, relations."""
 
 from datetime import datetime
+from enum import Enum
 
 import pytest
 
@@ -147,6 +148,26 @@ def test_long_lists_are_joined(products):
     assert "BroadcastHashJoin" in plan
 
 
+def test_backslashes_are_plain_in_patterns(tables):
+    frame = tables.spark.createDataFrame([(1, "a\\b"), (2, "a%b"), (3, "ab")], "id int, name string")
+    products = Products(FrameTables(tables.spark, {"product": frame.selectExpr("id", "name", "cast(1 as decimal(18,2)) price", "1 category_id", "false deleted", "'' data")}))
+    assert ids(products.not_like("a\\b")) == [2, 3] and ids(products.not_like("%\\")) == [1, 2, 3] and ids(products.not_like("a\\%b")) == [2, 3]
+
+
+def test_keyset_passes_over_nulls(tables):
+    rows = [(i, f"p{i}", None if i % 3 == 0 else i) for i in range(1, 10)]
+    frame = tables.spark.createDataFrame(rows, "id int, name string, price int").selectExpr("id", "name", "cast(price as decimal(18,2)) price", "1 category_id", "false deleted", "'' data")
+    products = Products(FrameTables(tables.spark, {"product": frame}))
+    seen, cursor = [], None
+    while True:
+        page = products.keyset(cursor, 2)
+        seen += [r.id for r in page.items]
+        cursor = page.next_cursor
+        if not page.has_more:
+            break
+    assert seen == [3, 6, 9, 1, 2, 4, 5, 7, 8]
+
+
 def test_pages(products):
     assert ids(products.pages(1, 2)) == [2, 3] and ids(products.pages(3, 9)) == [4] and ids(products.pages(9, 1)) == []
     for bad in ((-1, 1), (0, 0)):
@@ -207,8 +228,8 @@ def test_filters_and_scopes(tables):
     [
         (Product, lambda: SelectAll(paged=True), "E020"), (Product, lambda: SelectAll(order_by="id UP"), "E042"), (Product, lambda: SelectAll(order_by="no"), "E002"), (Product, lambda: SelectAll(lock="update"), "E039"),
         (Product, lambda: SelectAll(ignore_filters=("x",)), "E091"), (Product, lambda: SelectByPredicate(Where("price", Compare.LIKE)), "E031"), (Product, lambda: SelectByPredicate(Where("data", json_path="a.b")), "E060"),
-        (Product, lambda: Aggregate("sum", "name"), "E047"), (Product, lambda: FullTextSearch("price"), "E035"), (Product, lambda: SelectAllEager("no"), "E040"), (Doc, lambda: Upsert(), "E095"), (Category, lambda: Restore(), "E026"),
-        (Product, lambda: UpdateWhere(("id",), Where("name")), "E044"), (Product, lambda: UpdateWhere(("name",)), "E023"), (Product, lambda: DeleteWhere(), "E023"), (CategoryView, lambda: Insert(), "E052"), (CategoryView, lambda: SelectOneByKey(), "E053"),
+        (Product, lambda: Aggregate("sum", "name"), "E029"), (Product, lambda: FullTextSearch("price"), "E035"), (Product, lambda: SelectAllEager("no"), "E040"), (Doc, lambda: Upsert(), "E095"), (Category, lambda: Restore(), "E026"),
+        (Product, lambda: UpdateWhere(("id",), Where("name")), "E027"), (Product, lambda: UpdateWhere(("name",)), "E023"), (Product, lambda: DeleteWhere(), "E023"), (CategoryView, lambda: Insert(), "E052"), (CategoryView, lambda: SelectOneByKey(), "E053"),
         (Product, lambda: PagedResult("name", order_by="id", distinct=True), "E083"), (Product, lambda: SelectAllByField(), "E021"),
     ],
 )
@@ -250,6 +271,14 @@ def test_ad_hoc(spark, products):
     assert p.call(spark, "DOUBLE", n=2).count() == 4
     with pytest.raises(StoreError):
         p.call(spark, "other")
+    p.register("count", outputs=("total", "n"))(lambda s, rows, n: adhoc.Outcome((rows, s.range(n)), {"total": rows.count(), "n": n + 1}, 0))
+    got = p.call(spark, "count", rows=spark.range(3), n=2)
+    assert [f.count() for f in got.frames] == [3, 2] and got.outputs == {"total": 3, "n": 3} and got.returned == 0
+    p.register("silent", outputs=("total",))(lambda s: None)
+    with pytest.raises(StoreError):
+        p.call(spark, "silent")
+    kind = Enum("Kind", {"A": 7})
+    assert adhoc.query(spark, "select :a, :b", a=kind.A, b=2**63 + 1).first()[:] == (7, 2**63 + 1)
 
 
 def test_hooks_and_streams(tables):

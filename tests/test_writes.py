@@ -1,13 +1,14 @@
-"""Changes over versioned snapshots: filters on writes, tokens, stamps, transactions."""
+"""Changes over written and planned states: filters on writes, keys, tokens, stamps."""
 
 from datetime import datetime
+from enum import Enum
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern import Column, Compare, ConcurrencyConflict, Converter, Entity, FilterValueMissing, GlobalFilter, SnapshotTables, Store, StoreError, Where, filter_scope
+from quern import Column, Compare, ConcurrencyConflict, Converter, Entity, FilterValueMissing, FrameTables, GlobalFilter, StateTables, Store, StoreError, Where, as_json, as_name, filter_scope
 from quern.plans.store import (
-    BulkInsert, Delete, DeleteAll, DeleteWhere, Insert, InsertAll, Options, Restore, SelectAll, Update, UpdateAll, UpdateWhere, Upsert,
+    BulkInsert, Delete, DeleteAll, DeleteWhere, Execute, Insert, InsertAll, Options, Restore, SelectAll, Update, UpdateAll, UpdateWhere, Upsert,
 )
 
 
@@ -40,6 +41,52 @@ class Guided(Entity, table="guided"):
     name = Column("string")
 
 
+class Colour(Enum):
+    RED = 1
+    BLUE = 2
+
+
+class Plain(Entity, table="plain"):
+    id = Column("int", key=True)
+    name = Column("string")
+
+
+class Renamed(Entity, table="renamed"):
+    id = Column("int", name="the_id", key=True)
+    name = Column("string", name="the_name")
+
+
+class Shaped(Entity, table="shaped"):
+    id = Column("int", key=True)
+    colour = Column("string", converter=as_name(Colour))
+    detail = Column("string", converter=as_json("struct<n:int>"))
+
+
+class PlainStore(Store, entity=Plain):
+    all = SelectAll(order_by="id")
+    add = Insert()
+    add_all = InsertAll()
+    put = Upsert()
+    erase_in = DeleteWhere(Where("id", Compare.IN), hard=True)
+    erase_not_in = DeleteWhere(Where("id", Compare.NOT_IN), hard=True)
+    rename_in = UpdateWhere(("name",), Where("id", Compare.IN))
+    run = Execute("name = :name")
+    mark = Execute("id >= :least", name="concat(name, :mark)")
+
+
+class RenamedStore(Store, entity=Renamed):
+    all = SelectAll(order_by="the_id")
+    add = Insert()
+    change = Update()
+
+
+class ShapedStore(Store, entity=Shaped):
+    all = SelectAll(order_by="id")
+    add = Insert()
+    add_all = InsertAll()
+    change = Update()
+
+
 class Items(Store, entity=Item):
     all = SelectAll(include_deleted=True, order_by="id")
     active = SelectAll(order_by="id")
@@ -80,7 +127,7 @@ class GuidStore(Store, entity=Guided):
 
 @pytest.fixture
 def tables(spark, tmp_path):
-    t = SnapshotTables(spark, str(tmp_path / "store"))
+    t = StateTables(spark, folder=str(tmp_path / "store"))
     now = datetime(2020, 1, 1)
     rows = [(1, "a", 5, False, now, "x", "A"), (2, "b", 15, False, now, "x", "B"), (3, "c", None, True, now, "x", "C")]
     t.create(Item, spark.createDataFrame(rows, "id long, name string, amount int, deleted boolean, created_at timestamp_ntz, modified_by string, shout string").repartition(3, "id"))
@@ -131,7 +178,7 @@ def test_deletes_and_restore(items):
 def test_upsert(items):
     assert items.put([{"id": 2, "name": "bb", "amount": 1}, {"id": 8, "name": "new"}, {"id": None, "name": "fresh"}]) == 3
     got = {r.id: r for r in items.all().collect()}
-    assert got[2].name == "bb" and got[2].created_at.year == 2020 and got[8].created_at.year >= 2024 and sorted(got) == [1, 2, 3, 4, 8]
+    assert got[2].name == "bb" and got[2].created_at.year == 2020 and got[8].created_at.year >= 2024 and sorted(got) == [1, 2, 3, 8, 9]
 
 
 def test_tokens_and_converters(tables):
@@ -163,34 +210,81 @@ def test_guids_grow(tables):
     assert len({r.id for r in rows}) == 2 and all(len(r.id) == 36 and r.id[14] == "7" for r in rows)
 
 
-def test_only_touched_files_are_rewritten(items):
-    before = set(items.tables.latest()[1]["item"]["files"])
-    items.change(id=1, name="q")
-    after = set(items.tables.latest()[1]["item"]["files"])
-    assert len(before - after) == 1 and before & after
-
-
-def test_transactions_and_savepoints(items):
-    with items.tables.transaction():
-        items.drop(1)
-        assert names(items.active()) == [(2, "b")]
-        with pytest.raises(RuntimeError), items.tables.transaction():
-            items.drop(2)
-            raise RuntimeError
-        assert names(items.active()) == [(2, "b")]
-    assert names(items.active()) == [(2, "b")]
-    with pytest.raises(RuntimeError), items.tables.transaction():
-        items.erase(2)
-        raise RuntimeError
-    assert names(items.active()) == [(2, "b")]
-    with pytest.raises(StoreError), items.tables.transaction() as tx:
-        tx.rollback()
-        items.drop(2)
-
-
-def test_lost_race_and_old_versions(items):
-    n, state = items.tables.latest()
-    items.drop(1)
-    with pytest.raises(ConcurrencyConflict):
-        items.tables._publish(n + 1, state)
-    assert not items.tables.frame(Item, version=n).where("id = 1").first().deleted
+def test_keys_stay_unique(items, tables):
+    """A key that is there, or twice in a batch, is refused, and nothing is changed."""
+    store = PlainStore(StateTables(tables.spark, FrameTables(tables.spark, {"plain": tables.spark.createDataFrame([(1, "a")], "id int, name string")})))
+    for wrong in (lambda: store.add(id=1, name="b"), lambda: store.add_all([{"id": 5}, {"id": 5}]), lambda: store.add_all([{"id": 1}]), lambda: store.add(name="no key"), lambda: store.put([{"id": 8, "name": "x"}, {"id": 8, "name": "y"}]), lambda: items.put([{"id": 2, "name": "x"}, {"id": 2, "name": "y"}])):
+        with pytest.raises(StoreError):
+            wrong()
+    assert names(store.all()) == [(1, "a")] and items.all().count() == 3
+    assert store.put([{"id": 1, "name": "aa"}, {"id": 2, "name": "b"}]) == 2 and names(store.all()) == [(1, "aa"), (2, "b")]
+
+
+def test_unknown_columns_are_refused(items):
+    for wrong in (lambda: items.change(id=1, nmae="typo"), lambda: items.add(nmae="typo"), lambda: items.add_all([{"name": "a", "nmae": "b"}]), lambda: items.change(name="no key"), lambda: items.bulk(items.spark.range(2).toDF("nmae"))):
+        with pytest.raises(StoreError):
+            wrong()
+    assert [r.name for r in items.all().collect()] == ["a", "b", "c"]
+
+
+def test_long_lists_in_writes(tables):
+    frames = FrameTables(tables.spark, {"plain": tables.spark.range(3000).selectExpr("cast(id as int) id", "cast(id as string) name")})
+    store = PlainStore(StateTables(tables.spark, frames))
+    assert store.erase_in(list(range(1, 3000, 2))) == 1500 and store.all().count() == 1500
+    assert store.rename_in("even", list(range(0, 2004, 2))) == 1002 and store.all().where("name = 'even'").count() == 1002
+    assert store.erase_not_in([None, *range(2000)]) == 0 and store.erase_not_in(list(range(2000))) == 500
+
+
+def test_attributes_stand_for_columns(tables):
+    store = RenamedStore(StateTables(tables.spark, FrameTables(tables.spark, {"renamed": tables.spark.createDataFrame([(1, "a")], "the_id int, the_name string")})))
+    assert store.change(id=1, name="b") and [tuple(r) for r in store.all().collect()] == [(1, "b")]
+    assert store.add(id=2, the_name="c") == 1 and store.all().count() == 2
+
+
+def test_enums_and_json_are_converted(tables):
+    store = ShapedStore(StateTables(tables.spark, FrameTables(tables.spark, {"shaped": tables.spark.createDataFrame([], "id int, colour string, detail string")})))
+    assert store.add(id=1, colour=Colour.RED, detail={"n": 1}) == 1 and store.add_all([{"id": 2, "colour": "BLUE", "detail": None}]) == 1
+    assert [(r.id, r.colour, r.detail and r.detail.n) for r in store.all().collect()] == [(1, "RED", 1), (2, "BLUE", None)]
+    assert store.change(id=2, detail={"n": 7}) and store.all().collect()[1].detail.n == 7
+    assert [r.colour for r in store.rows().orderBy("id").collect()] == ["RED", "BLUE"]
+    with pytest.raises(KeyError):
+        store.add(id=3, colour="GREEN")
+
+
+def test_execute_binds_and_counts(tables):
+    store = PlainStore(StateTables(tables.spark, FrameTables(tables.spark, {"plain": tables.spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, name string")})))
+    assert store.run(name="x' or true") == 0 and store.run(name="b") == 1
+    assert store.mark(least=2, mark="!") == 1 and names(store.all()) == [(1, "a"), (3, None)]
+
+
+def test_states_are_written_once_and_inserts_add_files(items, tmp_path):
+    def files():
+        return {p for p in (tmp_path / "store" / "item").rglob("*.parquet")}
+
+    before = files()
+    items.add(name="q")
+    assert before < files()  # the files that were there are as they were
+    state = items.tables._numbers(Item)
+    assert items.change(id=99, name="z") is False and items.tables._numbers(Item) == state
+    assert items.change(id=1, name="z") and len(items.tables._numbers(Item)) == len(state) + 1
+    again = Items(StateTables(items.spark, folder=str(tmp_path / "store")))
+    assert names(again.all()) == names(items.all())
+
+
+def test_read_only_tables_and_made_keys(tables):
+    frames = FrameTables(tables.spark, {"plain": tables.spark.createDataFrame([(1, "a")], "id int, name string")})
+    with pytest.raises(StoreError):
+        PlainStore(frames).add(id=2)
+    with pytest.raises(StoreError):  # keys that are made need rows that are written
+        Items(StateTables(tables.spark, FrameTables(tables.spark, {"item": tables.frame(Item)}))).add(name="x")
+
+
+def test_times_are_taken_as_written(spark, tables, monkeypatch):
+    from quern.functions.values import literal
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert spark.range(1).select(literal(datetime(2024, 1, 2, 3), "timestamp_ntz").alias("t")).first().t == datetime(2024, 1, 2, 3)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
