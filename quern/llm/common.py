@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_folder, shared_dir
+
 #: Texts handled together inside a task; bounds the memory of a Python worker whatever the size of Arrow's batches.
 SLICE_CHARS = 2_000_000
 
@@ -20,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent, as in tests on one machine, a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()  # set by SparkContext.setCheckpointDir
-        if own.isDefined():
-            return own.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quern-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
 _scratch: list[list[tuple[SparkSession, str]]] = []
 
 
@@ -50,13 +30,7 @@ def scratch() -> Iterator[None]:
         yield
     finally:
         for spark, path in _scratch.pop():
-            drop(spark, path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            drop_folder(spark, path)
 
 
 def written(df: DataFrame, tag: str, compression: str = "zstd", keep: bool = False) -> DataFrame:

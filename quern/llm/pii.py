@@ -24,12 +24,20 @@ _NON_DIGIT = re.compile(r"[^0-9]")
 # Letters of other scripts that look like Latin ones, marks that stand for others, and signs without width.
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "А": "A", "В": "B", "Е": "E", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
+    "А": "A", "В": "B", "Е": "E", "І": "I", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "τ": "t", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "γ": "y", "υ": "u", "ω": "w", "η": "n", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ј": "J", "Ү": "Y", "ү": "y", "ӏ": "l", "Ӏ": "I", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ƽ": "s", "ʟ": "l", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Տ": "S", "Օ": "O", "Ս": "U", "Լ": "L",
     "ı": "i", "․": ".", "。": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-",
 }
 NO_WIDTH = "­​‌‍⁠﻿"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digits in French, German and Spanish. As some of these words mean something else ("un", "acht", "dos"), they
+# count in runs of two or more only.
+OTHER_DIGIT_WORDS = {
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
 
 
 def _plain_form(c: str) -> str | None:
@@ -46,18 +54,20 @@ def _plain_form(c: str) -> str | None:
 
 
 _forms: dict[str, str | None] = {chr(i): None for i in range(128)}
-_OPEN, _SHUT = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _WORDS = "|".join(DIGIT_WORDS)
-#: What one step of the transducer reads: a bracketed or spaced "at" or "dot", or a run of spelled digits.
+_ALL_WORDS = "|".join([*DIGIT_WORDS, *OTHER_DIGIT_WORDS])
+_DOTS = "dot|point|punkt|punto"
+#: What one step of the transducer reads, in lower-case text: an entity, a bracketed or a spaced "at" or "dot", or a run of
+#: spelled digits. Each begins with a sign that few places have, and white space is read from its first sign on and never
+#: twice, so the search stays linear.
 _DISGUISE = re.compile(
-    rf"(?P<at>&(?:#0*64|#x0*40|commat);|{_OPEN}(?:at|@){_SHUT}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({{<]\s*dot)))"
-    rf"|(?P<dot>&(?:#0*46|#x0*2e|period);|{_OPEN}(?:dot|\.){_SHUT}|(?<=[A-Za-z0-9])\s+(?:dot|point)\s+(?=[A-Za-z0-9]))"
-    rf"|(?P<digits>(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{_WORDS})(?:[\s,-]+(?:{_WORDS}))*(?![A-Za-z0-9]))",
-    re.IGNORECASE,
+    r"(?=[\s&\[({<])(?:&(?:(?P<at1>#0*+64|#x0*+40|commat)|(?P<dot1>#0*+46|#x0*+2e|period));"
+    rf"|(?<!\s)\s*+[\[({{<]\s*+(?:(?P<at2>at|@|arobase|arroba)|(?P<dot2>{_DOTS}|\.))\s*+[\])}}>]\s*+"
+    rf"|(?<=[a-z0-9])\s++(?:(?P<at3>at\s++(?=[a-z0-9-]++(?:\s++(?:dot|punkt|punto)\s|\s*+[\[({{<]\s*+(?:dot|punkt|punto)))|(?:arobase|arroba)\s++(?=[a-z0-9]))|(?P<dot3>(?:{_DOTS})\s++(?=[a-z0-9]))))"
+    rf"|(?<!\w)(?=[{''.join(sorted({w[0] for w in _ALL_WORDS.split('|')}))}p])(?P<digits>(?:plus[\s-]++)?(?:{_ALL_WORDS})(?:[\s,-]++(?:{_ALL_WORDS})(?!\w))++|(?:plus[\s-]++)?(?:{_WORDS}))(?!\w)"
 )
-#: One of these is in whatever _DISGUISE matches: an entity's start, the word or sign in brackets, "at" before a dot; or a digit word.
-_HINTS = ("&#", "&commat;", "&period;", "dot", "point")
-_BRACKETED = re.compile(rf"[\[({{<]\s*(?:at|@|\.)\s*[\])}}>]", re.IGNORECASE)
+_BETWEEN = re.compile(r"[\s,-]+")
+_DIGITS = {**DIGIT_WORDS, **OTHER_DIGIT_WORDS}
 
 
 def _luhn(digits: str) -> bool:
@@ -96,8 +106,8 @@ def find_plain(text: str) -> list[tuple[int, int, int]]:
 
 
 def _lower(text: str) -> str:
-    """Lower case, where a dotted capital I is an i, as it is for the pattern."""
-    return text.lower().replace("i\u0307", "i")
+    """Lower case of the same length: a dotted capital I, the only letter that becomes two, is an i."""
+    return text.replace("\u0130", "i").lower()
 
 
 def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
@@ -116,23 +126,22 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
             flat, where = "".join(p for p, _ in kept), [i for _, i in kept]
         else:
             flat, where = text, None
-    low = _lower(flat)
-    spelled = sum(low.count(w) for w in DIGIT_WORDS)
-    # a spelled digit counts beside an "@" or among the four digits that the shortest of the other kinds has
-    if spelled and "@" not in flat:
-        spelled = spelled + sum(map(flat.count, "0123456789")) >= 4
-    if not spelled and not any(h in low for h in _HINTS) and not _BRACKETED.search(flat):
-        if not changed:
-            return None
-        return flat, where, [i + 1 for i in where]
+    found = list(_DISGUISE.finditer(_lower(flat)))
+    # spelled digits alone make nothing without an "@" or the four digits that the shortest of the other kinds has
+    if all(m.lastgroup == "digits" for m in found) and "@" not in flat:
+        digits = sum(len(re.split(_BETWEEN, m[0])) for m in found)
+        if digits + sum(map(flat.count, "0123456789")) < 4:
+            found = []
+    if not found:
+        return (flat, where, [i + 1 for i in where]) if changed else None
     done = 0
-    for m in _DISGUISE.finditer(flat):
+    for m in found:
         kind = m.lastgroup
         if kind == "digits":
-            words = re.split(r"[\s,-]+", _lower(m[0]))
-            put = ("+" if words[0] == "plus" else "") + "".join(DIGIT_WORDS[w] for w in words if w != "plus")
+            words = re.split(_BETWEEN, m[0])
+            put = ("+" if words[0] == "plus" else "") + "".join(_DIGITS[w] for w in words if w != "plus")
         else:
-            put = "@" if kind == "at" else "."
+            put = "@" if kind.startswith("at") else "."
         a, b = m.span()
         chars.append(flat[done:a])
         starts += range(done, a)
@@ -140,9 +149,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
         chars.append(put)
         starts += [a] * len(put)
         ends += [b] * len(put)
-        done, changed = b, True
-    if not changed:
-        return None
+        done = b
     chars.append(flat[done:])
     starts += range(done, len(flat))
     ends += range(done + 1, len(flat) + 1)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 from hashlib import sha256
 from zlib import crc32
@@ -152,3 +153,87 @@ def test_disguises_are_found_whatever_stands_beside_them(part, kind, beside):
 
 def test_a_dotted_capital_in_a_digit_word():
     assert [k for k, _, _ in pii.find_spans("+49 30 f\u0130ve two three 4567")[1]] == [3]
+
+
+@pytest.mark.parametrize(
+    "part, kind",
+    [("jane arobase exemple point fr", "email"), ("juan arroba ejemplo punto es", "email"), ("jane (at) beispiel (punkt) de", "email"), ("plus vier neun drei null eins zwei drei vier fünf sechs", "phone"), ("+33 un deux trois quatre cinq six sept huit", "phone"), ("+34 nueve uno dos tres cuatro cinco seis siete", "phone")],
+)
+def test_disguises_in_other_languages(part, kind):
+    assert pii.redact(f"x {part}, y") == f"x <{kind.upper()}>, y"
+
+
+def test_a_shift_in_length_moves_no_offset():
+    text = "i̇ İ jane [at] example.org"
+    assert [text[a:b] for _, a, b in pii.find_spans(text)[1]] == ["jane [at] example.org"]
+
+
+@pytest.mark.parametrize("text", ["dot " + " " * 300_000, "dot " + " (" * 150_000, "a at " * 60_000 + "dot", "dot" + "[ " * 150_000, "dot" + " one" * 70_000, "@" * 300_000, "dot" + "&#0" * 100_000, "dot &#" + "0" * 300_000, "+1" + " " * 300_000])
+def test_personal_data_is_sought_in_linear_time(text):
+    began = time.process_time()
+    pii.find_spans(text)
+    assert time.process_time() - began < 3
+
+
+def test_digit_words_as_in_every_pair_of_signs():
+    """The transducer against the simple reading: replace each disguise where it stands, then look for plain identifiers."""
+    rnd = random.Random(5)
+    parts = ["jane", "example", "com", " at ", " dot ", "[at]", "(dot)", "@", ".", " ", "+", "4", "49", "one", " two ", "three", "а", "-", "x,"]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
+        base, added = pii.find_spans(text)
+        assert base == brute(text)
+        plain = pii.normalise(text)
+        flat = plain[0] if plain else text
+        spans = [(k, plain[1][a], plain[2][b - 1]) if plain else (k, a, b) for k, a, b in brute(flat)]
+        assert set(added) <= set(spans) and all(any(k == q and s <= a and b <= e for q, s, e in base + added) for k, a, b in spans)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div>" + "real text " * 20 + '</div><article class="comment">I disagree</article>', ("real text " * 20).strip()),
+        ('<article class="related-posts">x y</article><p>' + "body " * 30 + "</p>", ("body " * 30).strip()),
+        ("<p>Short one here.</p><p>Another line.</p><p>x</p>", "Short one here. Another line. x"),
+        ("<p>" + "long " * 30 + "</p><p>A.</p><p>B.</p><p>Last words.</p><p>C.</p>", "long " * 30 + "A. B. Last words. C."),
+        ("<article><p>teaser</p></article>" + ("<p>" + "body " * 100 + "</p>") * 3, "teaser " + ("body " * 300).strip()),
+        ("<article>Hi.</article><div>Share it</div>", "Hi."),
+    ],
+)
+def test_the_distribution_decides(page, text):
+    assert extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 250_000, "<!--" * 250_000, "<a '\"" * 200_000 + ">", "> " + "<a " * 300_000, "<script>" * 100_000, "<? " * 300_000])
+def test_a_megabyte_of_broken_tags_takes_no_time(page):
+    began = time.process_time()
+    extract.main_text(page)
+    media.parse_sequence(page)
+    assert time.process_time() - began < 3
+
+
+def test_blocks_against_a_plain_reading_of_every_page():
+    """Every page of the smallest table: sums over each window, surges and dives written out anew."""
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist():
+        lines = extract.lines_of(page)
+        marked = any(main and text for text, _, main in lines)
+        weight = [n if not marked else n + 86 if main and text else n // 4 for text, n, main in lines]
+        near = lambda i: [weight[max(0, k) : k + 3] for k in range(i - 2, i + 1)]
+        on, expected = False, []
+        for i, (text, _, _) in enumerate(lines):
+            on = any(weight[i : i + 3]) if on else weight[i] > 0 and any(sum(b) >= 86 for b in near(i))
+            expected += [text] if on and text else []
+        assert extract.main_text(page) == " ".join(expected)
+        article = page[page.index("<article") : page.index("</article>")]
+        assert all(w in article for w in re.sub(r"[<>&]", " ", extract.main_text(page)).split()[:5])
+
+
+def test_text_media_of_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (1, "a"), (1, "b"), (None, None)], "doc_id long, text string")
+    rows = media.text_media(df).collect()
+    assert len(rows) == 6 and sorted((r.doc_id is None, r.n_bytes) for r in rows) == [(False, 1)] * 3 + [(True, 0), (True, 1), (True, 1)]
+    assert len({r.payload_sha256 for r in rows if r.n_bytes == 1}) == 2
+    found = pii.find_pii(df).collect()
+    assert len(found) == 6 and all(r.spans == "" for r in found)
