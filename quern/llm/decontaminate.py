@@ -11,14 +11,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, map_texts, whole_texts, written
+from .common import map_texts, whole_texts
 
 WORDS = re.compile(r"\w+").findall
-#: Words of a seed; seeds of an item of which the rarest is kept (every such run of seeds keeps one, so long verbatim
-#: copies always meet one); alignment scores; share of an item's full score from which a passage counts as a copy.
-SEED, RARE_OF, MATCH, MISMATCH, GAP, COPY = 3, 2, 2, -1, -2, 0.5
-#: Characters of test items that one pass over the documents looks for; more items take more passes.
-BLOCK_CHARS = 50_000_000
+#: Alignment scores, share of an item's full score from which a passage counts as a copy, and words below which an item only
+#: counts where it stands word for word.
+MATCH, MISMATCH, GAP, COPY, WHOLE = 2, -1, -2, 0.5, 4
+#: Characters of test items that one pass over the documents looks for (some 60 MB in a worker); more items take more passes.
+BLOCK_CHARS = 10_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -42,93 +42,109 @@ def local_score(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+    """The best local score of an item in a passage, and the words of the passage from where to where it reaches."""
+    score, end = local_score(item, passage)
+    back, length = local_score(item[::-1], passage[:end][::-1])
+    return score, end - length if back == score else 0, end
+
+
+def least_pairs(n: int) -> int:
+    """Neighbouring words of an item of n words that any copy of it keeps side by side.
+
+    An alignment that replaces x words, leaves out d (or, at the ends, f) and puts in i scores MATCH (n - x - d - f) - x - 2 d -
+    2 i, so 3 x + 4 d + 2 i + 2 f is at most twice what may be missing of the n words; it keeps n - 1 - 2 x - 2 d - i - f pairs or
+    more, which is least where all is spent on replaced words.
+    """
+    if n < WHOLE:
+        return n - 1
+    return max(1, math.ceil(n - 1 - 4 * n * (1 - COPY) / 3))
+
+
 @dataclass
 class Items:
-    """Test items as word numbers, and where each seed occurs in them."""
+    """A block of test items as word numbers. Its seeds are pairs of neighbouring words."""
 
     keys: list
     words: list[np.ndarray]
     vocabulary: dict[str, int]
     seeds: np.ndarray  # sorted codes
-    places: list[list[tuple[int, int]]]  # (item, position) of each seed
+    own: list[np.ndarray]  # each item's seeds, as places in ``seeds``
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
         vocabulary: dict[str, int] = {}
         words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in rows]
-        base, found = len(vocabulary) + 1, {}
-        if base >= 2_000_000:
-            raise ValueError("a block of test items has too many different words for exact seed codes; use smaller blocks")
-        for k, w in enumerate(words):
-            for p, code in enumerate(seed_codes(w, base)):
-                found.setdefault(int(code), []).append((k, p))
-        seeds = np.array(sorted(found), np.int64)
-        return cls([key for key, _ in rows], words, vocabulary, seeds, [found[int(s)] for s in seeds])
+        codes = [seed_codes(w, len(vocabulary) + 1) for w in words]
+        seeds = np.unique(np.concatenate([np.empty(0, np.int64), *codes]))
+        return cls([key for key, _ in rows], words, vocabulary, seeds, [np.searchsorted(seeds, c).astype(np.int32) for c in codes])
+
+    def seeds_in(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of the texts one after another, where each text ends; and place, seed and text of each seed in them."""
+        words = [words_of(t) for t in texts]
+        flat = [w for ws in words for w in ws]
+        numbers = np.fromiter(map(self.vocabulary.get, flat, repeat(0)), np.int64, len(flat))
+        ends = np.cumsum([len(ws) for ws in words])
+        codes = seed_codes(numbers, len(self.vocabulary) + 1)
+        place = np.flatnonzero(codes)  # few places have known words only
+        slot = np.searchsorted(self.seeds, codes[place])
+        ok = slot < len(self.seeds)
+        place, slot = place[ok], slot[ok]
+        text = np.searchsorted(ends, place, side="right")
+        ok = (self.seeds[slot] == codes[place]) & (place + 2 <= ends[text]) if len(place) else np.empty(0, bool)  # within one text
+        return numbers, ends, place[ok], slot[ok], text[ok]
 
 
 def seed_codes(w: np.ndarray, base: int) -> np.ndarray:
-    """Exact codes of the runs of SEED word numbers; 0 where a word is not in the vocabulary."""
-    if len(w) < SEED:
+    """Exact codes of neighbouring word numbers; 0 where a word is not in the vocabulary."""
+    if len(w) < 2:
         return np.empty(0, np.int64)
-    code, known = np.zeros(len(w) - SEED + 1, np.int64), np.ones(len(w) - SEED + 1, bool)
-    for k in range(SEED):
-        part = w[k : len(w) - SEED + 1 + k]
-        code = code * base + part
-        known &= part > 0
-    return np.where(known, code, 0)
+    return np.where((w[:-1] > 0) & (w[1:] > 0), w[:-1] * base + w[1:], 0)
+
 
+def rare_seeds(items: Items, counts: np.ndarray) -> list[np.ndarray]:
+    """For each item its rarest seeds, by documents that hold them: so many that each copy keeps one of them.
 
-def rare_seeds(items: Items, counts: dict[int, int]) -> list[list[int]]:
-    """For each item the seeds that are the rarest of some RARE_OF successive ones, by documents that hold them."""
+    A copy keeps ``least_pairs`` of an item's pairs, so it cannot avoid a set of pairs that leaves out fewer than these.
+    """
     chosen = []
-    base = len(items.vocabulary) + 1
-    for w in items.words:
-        codes = seed_codes(w, base).tolist()
-        picked = set()
-        for i in range(max(1, len(codes) - RARE_OF + 1)):
-            run = codes[i : i + RARE_OF]
-            if run:
-                picked.add(min(run, key=lambda c: (counts.get(c, 0), c)))
-        chosen.append(sorted(picked))
+    for w, own in zip(items.words, items.own):
+        seeds, times = np.unique(own, return_counts=True)
+        order = np.lexsort((seeds, counts[seeds]))
+        needed = len(own) - least_pairs(len(w)) + 1
+        chosen.append(np.sort(seeds[order[: int(np.searchsorted(np.cumsum(times[order]), needed)) + 1]]) if len(own) else seeds)
     return chosen
 
 
-def _hits_in(items: Items, key, w: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[tuple]:
-    """Rows (key, item, seeds hit, first word, words of the passage) of a document's seed hits, gathered by offset."""
-    near: dict[int, list[tuple[int, int]]] = {}
-    for pos, s in zip(at.tolist(), which.tolist()):
-        for item, p in items.places[s]:
-            near.setdefault(item, []).append((pos - p, s))
-    rows = []
-    for item, hits in near.items():
-        m = len(items.words[item])
-        if len(hits) < 2 and m >= 2 * SEED:
-            continue
-        hits.sort()
-        i = 0
-        while i < len(hits):
-            j = i + 1
-            while j < len(hits) and hits[j][0] - hits[j - 1][0] <= m // 2 + SEED:
-                j += 1
-            if j - i >= 2 or m < 2 * SEED:
-                slack = m // 4 + SEED
-                start, end = max(0, hits[i][0] - slack), min(len(w), hits[j - 1][0] + m + slack)
-                rows.append((key, item, sorted({int(items.seeds[s]) for _, s in hits[i:j]}), start, w[start:end].tolist()))
-            i = j
-    return rows
+def passages(places: np.ndarray, n: int, length: int) -> list[tuple[int, int]]:
+    """Where an item of n words may be copied, given the places of its seeds in a text of ``length`` words.
+
+    A copy reaches over 1.5 n words or fewer (more inserted ones cost more than is left), in which it has ``least_pairs`` seeds.
+    """
+    t, reach = least_pairs(n), n + int(n * (1 - COPY)) + 1
+    if len(places) < t:
+        return []
+    full = np.flatnonzero(places[t - 1 :] - places[: len(places) - t + 1] <= reach)
+    if not len(full):
+        return []
+    starts, ends = places[full] - reach, places[full + t - 1] + reach
+    cuts = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+    return [(max(0, int(s[0])), min(length, int(e[-1]))) for s, e in zip(np.split(starts, cuts), np.split(ends, cuts))]
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word, n_seeds: documents with a passage that copies a test item, edited or not.
 
-    Each document is read once for a block of items: runs of SEED words that occur in an item are its seeds, passages where
-    two or more seeds of an item lie at like offsets are candidates, and documents are counted for each seed. Candidates
-    with one of the item's rare seeds are aligned with the item (Smith-Waterman over words); a score of COPY of the item's
-    full score or more is a copy. The best passage of each (document, item) is returned.
+    Documents are read twice for a block of items. First the documents that hold each seed (a pair of neighbouring words of an
+    item) are counted. Then a text that holds one of an item's rare seeds has the item's seeds counted along it; where these
+    are as dense as any copy has them the passage is aligned with the item (Smith-Waterman over words). A score of COPY of the
+    item's full score or more is a copy: up to a third of the words replaced, in whatever pattern, or half of them left out
+    at the ends. None is missed (see ``least_pairs``). The best passage of each (document, item) is returned.
 
-    Words are runs of letters and digits, case-folded. Null and empty texts, and items of fewer than SEED words, copy
-    nothing; repeated documents are each reported, repeated items too; null keys are kept; empty tables give no rows;
-    extra columns are ignored. What is broadcast is one block of items, of bounded size whatever the corpus.
+    Words are runs of letters and digits, case-folded. Null and empty texts copy nothing; items of fewer than WHOLE words are
+    found word for word, items of one word or none not at all; repeated documents are each searched, but a key is reported
+    once; repeated items are each reported; null keys are kept; empty tables give no rows; extra columns are ignored. What is
+    broadcast is one block of items, of bounded size whatever the corpus.
     """
     tests = benchmark.select(F.col("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -144,59 +160,52 @@ def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _block_copies(texts: DataFrame, items: Items, key_type: str) -> DataFrame:
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(items)
-    base = len(items.vocabulary) + 1
 
-    def rows_of(columns):
-        it = sent.value
-        words = [words_of(t) for t in columns[1]]
-        flat = [w for ws in words for w in ws]
-        numbers = np.fromiter(map(it.vocabulary.get, flat, repeat(0)), np.int64, len(flat))
-        ends = np.cumsum([len(ws) for ws in words])
-        codes = seed_codes(numbers, base)
-        place = np.flatnonzero(codes)  # few positions have known words only
-        slot = np.searchsorted(it.seeds, codes[place])
-        ok = slot < len(it.seeds)
-        place, slot = place[ok], slot[ok]
-        ok = it.seeds[slot] == codes[place]
-        place, slot = place[ok], slot[ok]
-        doc = np.searchsorted(ends, place, side="right")
-        ok = place + SEED <= ends[doc] if len(place) else np.empty(0, bool)  # a seed ends in the document where it begins
-        place, slot, doc = place[ok], slot[ok], doc[ok]
+    def held(columns):
+        _, _, _, slot, text = sent.value.seeds_in(columns[1])
+        seeds, counts = np.unique(np.unique(text * len(sent.value.seeds) + slot) % max(1, len(sent.value.seeds)), return_counts=True)
+        return [(seeds.tolist(), counts.tolist())]
+
+    sums = map_texts(texts, held, "seeds array<int>, counts array<long>", "doc_id", "text")
+    counted = sums.select(F.explode(F.arrays_zip("seeds", "counts")).alias("z")).groupBy("z.seeds").agg(F.sum("z.counts").alias("n"))
+    counts = np.zeros(len(items.seeds), np.int64)
+    for r in counted.collect():  # one number for each seed of the block: as bounded as the block
+        counts[r.seeds] = r.n
+    chosen = rare_seeds(items, counts)
+    # which items each seed is rare for: items by seed, and where each seed's begin
+    of = np.concatenate([np.empty(0, np.int64), *chosen]).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    by_seed = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])[order]
+    begins = np.searchsorted(of[order], np.arange(len(items.seeds) + 1))
+    rare = spark.sparkContext.broadcast((by_seed, begins))
+
+    def search(columns):
+        it, (by_seed, begins) = sent.value, rare.value
+        numbers, ends, place, slot, text = it.seeds_in(columns[1])
+        sizes = begins[slot + 1] - begins[slot]
+        hit = np.flatnonzero(sizes)
+        if not len(hit):
+            return []
+        times = sizes[hit]
+        at = np.repeat(begins[slot[hit]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        pairs = np.unique(np.repeat(text[hit], times) * len(it.words) + by_seed[at])
         rows = []
-        cuts = np.flatnonzero(np.diff(doc)) + 1
-        for at, which, d in zip(np.split(place, cuts), np.split(slot, cuts), np.split(doc, cuts)):
-            if len(d):
-                n = int(d[0])
-                begin = int(ends[n]) - len(words[n])
-                rows += [("hit", *r) for r in _hits_in(it, columns[0][n], numbers[begin : ends[n]], at - begin, which)]
-        # documents that hold each seed, summed over the slice
-        held = np.unique(np.stack([doc, slot]), axis=1)[1] if len(doc) else np.empty(0, np.int64)
-        seeds, counts = np.unique(held, return_counts=True)
-        rows.append(("count", None, None, it.seeds[seeds].tolist(), None, counts.tolist()))
+        for d, item in zip((pairs // len(it.words)).tolist(), (pairs % len(it.words)).tolist()):
+            here = slice(*np.searchsorted(text, (d, d + 1)))
+            own = np.unique(it.own[item])
+            mine = own[np.minimum(np.searchsorted(own, slot[here]), len(own) - 1)] == slot[here]
+            w, begin = it.words[item], int(ends[d - 1]) if d else 0
+            for start, end in passages(place[here][mine] - begin, len(w), int(ends[d]) - begin):
+                score, first, last = alignment(w, numbers[begin + start : begin + end])
+                share = score / (MATCH * len(w))
+                if share >= (COPY if len(w) >= WHOLE else 1):
+                    seeds = np.unique(slot[here][mine])
+                    shared = sum(item in by_seed[begins[s] : begins[s + 1]] for s in seeds.tolist())
+                    rows.append((columns[0][d], it.keys[item], share, start + first, start + last, shared))
         return rows
 
-    schema = "what string, doc_id long, item int, seeds array<long>, start int, words array<long>"
-    seen = written(map_texts(texts, rows_of, schema, "doc_id", "text"), "seeds")
-    # one number for each seed of the block: as bounded as the block
-    counted = seen.where("what = 'count'").select(F.explode(F.arrays_zip("seeds", "words")).alias("z")).groupBy("z.seeds").agg(F.sum("z.words").alias("n"))
-    rare = spark.sparkContext.broadcast([set(r) for r in rare_seeds(items, {r.seeds: r.n for r in counted.collect()})])
-
-    def align(columns):
-        it = sent.value
-        rows = []
-        for key, item, seeds, start, passage in zip(*columns):
-            shared = len(rare.value[item].intersection(seeds))
-            if not shared:
-                continue
-            w = it.words[item]
-            score, end = local_score(w, np.array(passage, np.int64))
-            share = score / (MATCH * len(w))
-            if share >= COPY:
-                rows.append((key, it.keys[item], share, start, start + end, shared))
-        return rows
-
-    hits = seen.where("what = 'hit'").select("doc_id", "item", "seeds", "start", "words")
-    aligned = map_rows(hits, align, f"doc_id long, item_id {key_type}, score double, start_word int, end_word int, n_seeds int")
+    schema = f"doc_id long, item_id {key_type}, score double, start_word int, end_word int, n_seeds int"
+    aligned = map_texts(texts, search, schema, "doc_id", "text")
     best = F.max(F.struct("score", (-F.col("start_word")).alias("s"), "start_word", "end_word", "n_seeds")).alias("b")
     return aligned.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.start_word", "b.end_word", "b.n_seeds")
 
@@ -204,6 +213,9 @@ def _block_copies(texts: DataFrame, items: Items, key_type: str) -> DataFrame:
 def drop_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no copy of a test item; rows without a key stay.
 
+    Null and empty texts stay; of rows with one key none stays where one has a copy; an empty table stays empty, and without
+    test items all rows stay.
+
     The keys found grow with the corpus, so the join is a sort-merge one at every size.
     """
     bad = find_copies(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("doc_id")).distinct()

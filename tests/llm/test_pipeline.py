@@ -30,9 +30,9 @@ def test_stages_keep_the_columns_of_documents(steps):
 
 def test_near_duplicate_stage(steps):
     before, after = texts(steps[1]), texts(steps[2])
-    s = {i: neardup.labelled_shingles(neardup.word_numbers(t)) for i, t in before.items()}
+    s = {i: neardup.word_numbers(t) for i, t in before.items()}
     ids = sorted(before)
-    close = {(i, j) for k, i in enumerate(ids) for j in ids[:k] if neardup.aligned_share(s[i], s[j]) >= neardup.SIMILAR}
+    close = {(i, j) for k, i in enumerate(ids) for j in ids[:k] if neardup.similar(s[i], s[j])}
     assert not any(i in after and j in after for i, j in close)
     touched = {i for pair in close for i in pair}
     assert set(before) - touched <= set(after)
@@ -46,7 +46,7 @@ def test_decontamination_stage(spark, steps):
         known = {}
         number = lambda ws: np.array([known.setdefault(w, len(known)) for w in ws])
         b = number(words)
-        bad = any(len(x) >= decontaminate.SEED and decontaminate.local_score(number(x), b)[0] >= decontaminate.COPY * decontaminate.MATCH * len(x) for x in items)
+        bad = any(len(x) >= decontaminate.WHOLE and decontaminate.local_score(number(x), b)[0] >= decontaminate.COPY * decontaminate.MATCH * len(x) for x in items)
         assert (i in after) == (not bad)
 
 
