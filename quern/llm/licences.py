@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ NAMES = {
     "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache Software License"],
     "mit": ["MIT License", "MIT licence", "Expat License", "SPDX MIT License"],
     "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "New BSD License", "BSD-3-Clause"],
-    "gpl": ["GNU General Public License", "GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL", "GPL v3", "GPL-3.0", "GPLv2"],
+    "gpl": ["GNU General Public License", "GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL", "GPL v3", "GPL-3.0", "GPLv2", "GPLv3", "GPL"],
     "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 3", "GNU LGPL", "LGPL-2.1", "GNU Library General Public License"],
     "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "GNU AGPL", "AGPL-3.0"],
     "mpl": ["Mozilla Public License", "Mozilla Public License, v. 2.0", "MPL-2.0", "MPL 2.0"],
@@ -56,8 +58,14 @@ CUES = "licence licences licenced license licenses licensed licensing sublicense
 WEAK = frozenset({"mit", "software", "permission", "creative", "eclipse"})
 COMMON = frozenset("a all and any for in is of on or that the this to was with".split())
 ORDERS = (1, 2, 3)
-#: Paragraphs of the corpus, with the lowest hashes among those with a cue, that may join the unknown class in training.
-CORPUS_ROWS = 500
+#: Names of licences that belong to no family here, made from invented ones, and how such names are built: what speaks of
+#: licences in general thereby speaks for none.
+OTHERS = "Quartz Harbour Meadow Falcon Zenit Orbit Juniper Basalt Lantern Cobalt Tundra Saffron".split()
+SHAPES = ["{} License", "{} Licence", "{} Public License", "{} Public Licence", "{} Software License", "{} Open License", "{} Free Licence, version 1.1", "{} General License", "{} Source License v2", "{} Commons License", "{}-1.0", "{}-2.0", "{} license agreement"]
+#: Folds of texts and families for calibration, steps of the training, and the weight of names and notices that stand alone.
+FOLDS, STEPS, ALONE = 4, 800, 20
+#: Where a paragraph ends: at an empty line, or where a line ends with a sentence. So a wrapped notice is one paragraph.
+BREAK = r"\n[ \t\r]*\n\s*|(?<=[.!?:;])[ \t\r]*\n"
 #: Share of a template's word pairs (or of the paragraph's) that the other must have for a prediction to be confirmed.
 CONFIRM = 0.6
 
@@ -101,53 +109,82 @@ class Classifier:
 
 
 def training_rows() -> list[tuple[str, str]]:
+    """Different texts and their families: notices, names in sentences, and sentences and made-up licences of no family."""
     rows = [(lead.format(name), f) for f, names in NAMES.items() for name in names for lead in LEADS]
-    rows += [(n, f) for f, notices in NOTICES.items() for n in notices for _ in range(3)]
-    return rows + [(u, "unknown") for u in UNKNOWN for _ in range(4)]
-
-
-def train(extra_unknown: list[str] = (), steps: int = 400) -> Classifier:  # type: ignore[assignment]
-    """Softmax regression over sparse word n-grams of the notices; then one scale and an unknown bias fitted on held-out rows.
-
-    ``extra_unknown`` are corpus paragraphs; those that contain a family's name or notice are left out.
+    rows += [(n, f) for f, notices in NOTICES.items() for n in notices]
+    rows += [(LEADS[(i + k) % len(LEADS)].format(shape.format(name)), "unknown") for i, name in enumerate(OTHERS) for k, shape in enumerate(SHAPES)]
+    return list(dict.fromkeys([*rows, *((u, "unknown") for u in UNKNOWN)]))
+
+
+class _Rows:
+    """Texts as sparse rows of features: the memory is that of the features that the texts have."""
+
+    def __init__(self, texts: list[str]):
+        grams = [sorted(g for g in grams_of(words_of(t)) if _is_feature(g)) for t in texts]
+        self.vocabulary = {g: i for i, g in enumerate(sorted({g for gs in grams for g in gs}))}
+        self.row = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+        self.column = np.array([self.vocabulary[g] for gs in grams for g in gs], np.int64)
+        self.n = len(texts)
+
+    def scores(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.row, w[self.column, k], self.n) for k in range(w.shape[1])], axis=1) + b
+
+    def gradient(self, g: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.column, g[self.row, k], len(self.vocabulary)) for k in range(g.shape[1])], axis=1)
+
+
+def _fit(x: _Rows, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by gradient descent on rows that weigh ``at``; families weigh alike."""
+    w, b = np.zeros((len(x.vocabulary), y.shape[1])), np.zeros(y.shape[1])
+    total = (y * at[:, None]).sum(axis=0)
+    each = (y @ (1 / np.maximum(total, 1)) * at)[:, None] / (total > 0).sum()
+    step, drift = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(STEPS):
+        z = x.scores(w, b)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - y) * each
+        step = 0.9 * step - 16.0 * (x.gradient(g) + 2e-5 * w)  # with momentum
+        drift = 0.9 * drift - 1.0 * g.sum(axis=0)
+        w, b = w + step, b + drift
+    return w, b
+
+
+@lru_cache(maxsize=1)
+def train() -> Classifier:
+    """Softmax regression over sparse word n-grams of the notices; then one scale and a bias of the unknown class.
+
+    These two are fitted on rows that were not trained on. In each fold some texts are left out, and some families with all
+    their rows, which then are licences of no family and count as unknown.
     """
-    known = [" " + " ".join(words_of(n)) + " " for names in (*NAMES.values(), *NOTICES.values()) for n in names]
-    rows = training_rows()
-    rows += [(x, "unknown") for x in extra_unknown if not any(n in f" {' '.join(words_of(x))} " for n in known)]
-    families = [*NAMES, "unknown"]
-    grams = [sorted(g for g in grams_of(words_of(t)) if _is_feature(g)) for t, _ in rows]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for gs in grams for g in gs}))}
-    x = np.zeros((len(rows), len(vocabulary)))
-    for i, gs in enumerate(grams):
-        x[i, [vocabulary[g] for g in gs]] = 1
-    y = np.eye(len(families))[[families.index(f) for _, f in rows]]
-    held = np.arange(len(rows)) % 5 == 4
-
-    def fit(at):
-        w, b = np.zeros((x.shape[1], len(families))), np.zeros(len(families))
-        share = y[at].mean(axis=0) * len(families)
-        cost = 1 / np.maximum(share, 0.05)  # families weigh alike
-        for _ in range(steps):
-            z = x[at] @ w + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            g = (p - y[at]) * (y[at] @ cost)[:, None] / at.sum()
-            w -= 4.0 * (x[at].T @ g + 1e-4 * w)
-            b -= 4.0 * g.sum(axis=0)
-        return w, b
-
-    w, b = fit(~held)
-    z = x[held] @ w + b
-    best = (np.inf, 1.0, 0.0)
-    for scale in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8):  # calibration: the scale and unknown bias of the least loss
-        for shift in (-1.0, 0.0, 0.5, 1.0, 2.0):
-            q = scale * z + shift * np.eye(len(families))[-1]
-            loss = float((np.logaddexp.reduce(q, axis=1) - (q * y[held]).sum(axis=1)).mean())
-            best = min(best, (loss, scale, shift))
-    w, b = fit(np.ones(len(rows), bool))
-    w, b = w * best[1], b * best[1]
-    b[-1] += best[2]
-    return Classifier(families, {g: w[i].tolist() for g, i in vocabulary.items()}, b.tolist())
+    rows, families = training_rows(), [*NAMES, "unknown"]
+    x = _Rows([t for t, _ in rows])
+    label = np.array([families.index(f) for _, f in rows])
+    y, last = np.eye(len(families))[label], len(families) - 1
+    fold = np.array([crc32(t.encode()) % FOLDS for t, _ in rows])
+    alone = {n for texts in (*NAMES.values(), *NOTICES.values()) for n in texts}
+    weight = np.array([ALONE if t in alone else 1 for t, _ in rows])  # what a family is known by weighs more than what was made of it
+    scores, truth = [], []
+    for k in range(FOLDS):
+        absent = (label % FOLDS == k) & (label != last)
+        w, b = _fit(x, y, weight * ((fold != k) & ~absent))
+        judged = (fold == k) | absent
+        z = x.scores(w, b)[judged]
+        z[:, [f for f in range(last) if f % FOLDS == k]] = -30.0  # families that this fold has never seen
+        scores.append(z)
+        truth.append(np.where(absent, last, label)[judged])
+    z, t = np.concatenate(scores), np.concatenate(truth)
+    share = np.where(t == last, 0.5 / (t == last).sum(), 0.5 / (t != last).sum())
+
+    def loss(scale, shift):
+        q = scale * z + shift * np.eye(len(families))[-1]
+        return float(((np.logaddexp.reduce(q, axis=1) - q[np.arange(len(t)), t]) * share).sum())
+
+    scale, shift = min(((a, c) for a in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0) for c in np.arange(-2, 6.5, 0.5)), key=lambda p: loss(*p))
+    w, b = _fit(x, y, weight)
+    w, b = w * scale, b * scale
+    b[-1] += shift
+    return Classifier(families, {g: w[i].tolist() for g, i in x.vocabulary.items()}, b.tolist())
 
 
 def _words(text: Column) -> Column:
@@ -160,22 +197,23 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, paragraph (its line number), text of the lines that hold a cue.
+    """row, doc_id, paragraph (its number in the text, from 0), text of the paragraphs that hold a cue.
 
-    Every feature that speaks for a family holds a cue, so a line without one could only be unknown and needs no scoring.
+    Every feature that speaks for a family holds a cue, so a paragraph without one could only be unknown and needs no scoring.
     """
     texts = docs.select("doc_id", "text").where(F.col("text").rlike(CUE_PATTERN))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(CUE_PATTERN))
-    return lines.select(F.monotonically_increasing_id().alias("row"), "doc_id", "paragraph", "line")
+    parts = texts.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("paragraph", "line")).where(F.col("line").rlike(CUE_PATTERN))
+    return parts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "paragraph", "line")
 
 
 def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """doc_id, paragraph, family, probability, similarity, confirmed of every paragraph that speaks of licences.
 
-    A paragraph is a line. Its word n-grams meet the classifier's weights in a broadcast join (as large as the published
-    notices, whatever the corpus); sums become probabilities of the families and of the unknown class; the family with the
-    highest is predicted, and confirmed if a template of that family shares CONFIRM of its word pairs with the paragraph.
-    Unknown paragraphs are returned as such, never confirmed.
+    A paragraph ends at an empty line or where a line ends with a sentence (BREAK), so a notice may be wrapped. Its word
+    n-grams meet the classifier's weights in a broadcast join (as large as the published notices, whatever the corpus); sums
+    become probabilities of the families and of the unknown class; the family with the highest is predicted, and confirmed if
+    a template of that family shares CONFIRM of its word pairs with the paragraph. Licences of other families are unknown,
+    and unknown paragraphs are returned as such, never confirmed.
 
     Null and empty texts have no paragraphs; repeated documents are each reported; a null key stays null; ties go to the
     first family by name; extra columns are ignored; an empty table gives no rows. All work is on Spark's own functions;
@@ -183,9 +221,7 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = paragraphs(docs)
-    if classifier is None:
-        sample = lines.select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(CORPUS_ROWS)
-        classifier = train([r.line for r in sample.collect()])
+    classifier = classifier or train()
     k = len(classifier.families)
     weights = spark.createDataFrame([("", *classifier.bias), *((g, *w) for g, w in classifier.weights.items())], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
 

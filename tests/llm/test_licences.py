@@ -37,7 +37,7 @@ def plain(line, c):
 def test_scores_equal_plain_python(rows, classifier):
     import re
 
-    expected = {(i, k): plain(line, classifier) for i, t in enumerate(TEXTS) for k, line in enumerate((t or "").split("\n")) if re.search(L.CUE_PATTERN, line)}
+    expected = {(i, k): plain(line, classifier) for i, t in enumerate(TEXTS) for k, line in enumerate(re.split(L.BREAK, t or "")) if re.search(L.CUE_PATTERN, line)}
     got = {(r.doc_id, r.paragraph): (r.family, r.probability) for r in rows if r.doc_id is not None}
     assert set(got) == set(expected)
     for k, (family, p) in expected.items():
@@ -65,3 +65,36 @@ def test_notices_are_found_as_their_family_and_no_scanned_line_is_lost(spark, cl
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(expected)], "doc_id long, text string")
     got = {r.doc_id: r.family for r in L.scan(df, classifier).collect()}
     assert [(t, got.get(i)) for i, (t, _) in enumerate(expected)] == expected
+
+
+OTHER = ["ISC License", "zlib license", "SIL Open Font License", "Boost Software License", "European Union Public Licence", "Licensed under the Boost Software License, Version 1.0.", "Released under the ISC License.", "The Unlicense", "Zope Public License, version 2.1", "Microsoft Public License"]
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_licences_of_other_families_are_unknown(spark, classifier):
+    df = spark.createDataFrame(list(enumerate(OTHER)), "doc_id long, text string")
+    got = {r.doc_id: (r.family, r.confirmed) for r in L.scan(df, classifier).collect()}
+    assert got == {i: ("unknown", False) for i in range(len(OTHER))}
+
+
+def test_wrapped_notices_are_one_paragraph(spark, classifier):
+    gpl = "This program is free software: you can redistribute it and/or modify it\r\nunder the terms of the GNU General Public License as published by\r\nthe Free Software Foundation.\r\nAnother line.\r\n"
+    df = spark.createDataFrame([(1, "A story.\n\n" + MIT), (2, gpl)], "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in L.scan(df, classifier).collect()}
+    assert got == {(1, 1): ("mit", True), (1, 2): ("mit", True), (2, 0): ("gpl", True)}
+
+
+def test_training_texts_are_told_apart_and_calibrated_on_others(classifier):
+    rows = L.training_rows()
+    assert len(rows) == len({t for t, _ in rows}) and sum(plain(t, classifier)[0] == f for t, f in rows) / len(rows) > 0.99
+    # a held-out name of each family in a sentence that no training text has
+    assert all(plain(f"You may copy the text as the {names[0]} allows.", classifier)[0] == f for f, names in L.NAMES.items() if f != "proprietary")
