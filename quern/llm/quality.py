@@ -10,50 +10,66 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import once
 from .common import whole_texts
 
-#: Bounds of what is learnt from: labelled rows of each class whose excerpts make the dictionaries, bytes of an excerpt,
-#: and labelled rows, other ones, on which the score is calibrated. Rows are those with the lowest hash of their key.
-DICTIONARY_ROWS, EXCERPT_BYTES, CALIBRATION_ROWS = 1500, 800, 6000
-#: Bytes of a dictionary: of plain text, and of the text's shape.
+#: Bounds of what is learnt from. Dictionaries: labelled rows of each class, those with the lowest hash of their key, whole,
+#: as long as their bytes together stay within the second number (rows of more than a sixteenth of that are passed over).
+#: Calibration: labelled rows, other ones.
+DICTIONARY_ROWS, DICTIONARY_BYTES, CALIBRATION_ROWS = 1500, 1 << 22, 6000
+#: Bytes of a dictionary of plain text, and of one of the text's shape.
 PLAIN_BYTES, SHAPE_BYTES = 1 << 18, 1 << 16
 LEVEL = 3
 
-_CLASSES = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+# bytes by kind: small letters, capitals (those of Latin-1 too, whose first byte is dropped) and digits
+_CLASSES = bytes(97 if 97 <= b <= 122 or b > 158 else 65 if 65 <= b <= 90 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = [(re.compile(c + b"{2,}"), c) for c in (b"a", b"A", b"0")]
 
 
 def shape(data: bytes) -> bytes:
     """The text with each run of small letters, capitals or digits as one sign: what is left is how it is written."""
-    data = data.translate(_CLASSES)
+    data = data.translate(_CLASSES, b"\xc3")
     for run, sign in _RUNS:
         data = run.sub(sign, data)
     return data
 
 
+#: What of a text is compressed, and the bytes of the dictionaries for it.
+VIEWS = {"plain": (bytes, PLAIN_BYTES), "shape": (shape, SHAPE_BYTES)}
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary trained on all samples; where they are too few for that, the samples one after another."""
+    samples = [x for x in samples if x]
+    try:
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(samples)[-size:].ljust(8, b"\n")
+
+
 class Sizes:
-    """Compressed sizes of a text under the dictionaries of good and of bad text, plain and by shape."""
+    """Compressed sizes of a text under the dictionaries of good and of bad text and under none, in each view."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.packers = {}
+        self.packers = {"": zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)}
         for name, data in dictionaries.items():
-            known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known = zstandard.ZstdCompressionDict(data)
             known.precompute_compress(level=LEVEL)
             self.packers[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_content_size=False)
 
     def features(self, text: str) -> list[float]:
-        """Normalised size differences, and how far the text compresses at all; the last is its length."""
+        """Differences of compressed sizes, each normalised: of good and bad, and what a dictionary saves."""
         plain = text.encode("utf-8")
-        out = []
-        for view, data in (("plain", plain), ("shape", shape(plain))):
-            good, bad = (len(self.packers[f"{view}-{label}"].compress(data)) for label in ("good", "bad"))
-            rest = min(good, bad) / max(1, len(data))
-            out += [10 * (good - bad) / max(good, bad, 1), 4 * rest, 16 * rest * rest]
-        return [1.0, *out, math.log1p(len(plain))]
+        out = [1.0]
+        for view, (seen, _) in VIEWS.items():
+            data = seen(plain)
+            none, good, bad = (len(self.packers[p].compress(data)) for p in ("", f"{view}-good", f"{view}-bad"))
+            size = max(1, len(data))
+            out += [10 * (good - bad) / max(good, bad), 10 * (good - bad) / size, 4 * (none - min(good, bad)) / size, 4 * (none - good) / none, 4 * (none - bad) / none]
+        return out
 
 
 @dataclass
@@ -116,29 +132,31 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from a bounded sample of labelled rows that are not held out.
 
-    Half of the labelled rows (by hash) may lend excerpts to the dictionaries, the other half calibrates, so the score is
-    not fitted on what the dictionaries hold. Rows without key or label are left out; of a key's several labels the lowest
-    counts. Without rows of both classes in both halves the model scores every text a half.
+    Two thirds of the labelled rows (by hash) may lend their texts to the dictionaries, the others calibrate, so the score is
+    not fitted on what the dictionaries hold. Rows without key or label are left out; of a key's several labels or texts the
+    lowest counts. Without rows of both classes in both parts, as with empty tables, the model scores every text a half.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", F.lit("quality")))
-    lend, judge = known.where("pmod(h, 2) = 0"), known.where("pmod(h, 2) = 1")
+    lend, judge = known.where("pmod(h, 3) > 0"), known.where("pmod(h, 3) = 0")
     picked = [lend.where(F.col("quality") == q).orderBy("h").limit(DICTIONARY_ROWS) for q in (0, 1)]
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
 
     # the samples are bounded by rows, so they are small enough to broadcast whatever the input
     sample = F.broadcast(picked[0].union(picked[1]))
-    # an excerpt from the middle; the lowest of a key's several texts counts
-    at = F.greatest(F.lit(1), ((F.length("text") - EXCERPT_BYTES) / 2).cast("int"))
-    excerpts = texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("q"), F.min("h").alias("h"), F.min(F.substring(F.col("text"), at, F.lit(EXCERPT_BYTES))).alias("x")).orderBy("h").collect()
-    parts = {q: [r.x.encode("utf-8") for r in excerpts if r.q == q] for q in (0, 1)}
+    # the lowest of a key's several texts counts; the running sums go over DICTIONARY_ROWS rows of a class at most
+    lent = texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("q"), F.min("h").alias("h"), F.min("text").alias("x"))
+    lent = lent.withColumn("n", F.octet_length("x")).where(F.col("n") <= DICTIONARY_BYTES // 16)
+    so_far = F.sum("n").over(Window.partitionBy("q").orderBy("h", "doc_id"))
+    rows = lent.withColumn("sum", so_far).where(F.col("sum") <= DICTIONARY_BYTES).select("q", "h", "x").orderBy("h").collect()
+    parts = {q: [r.x.encode("utf-8") for r in rows if r.q == q] for q in (0, 1)}
     if not parts[0] or not parts[1]:
         return Model()
     dictionaries = {}
     for q, label in ((0, "bad"), (1, "good")):
-        dictionaries[f"plain-{label}"] = b"\n".join(p[:EXCERPT_BYTES] for p in parts[q])[:PLAIN_BYTES].ljust(8, b"\n")
-        dictionaries[f"shape-{label}"] = b"\n".join(shape(p)[: EXCERPT_BYTES // 2] for p in parts[q])[:SHAPE_BYTES].ljust(8, b"\n")
+        for view, (seen, size) in VIEWS.items():
+            dictionaries[f"{view}-{label}"] = dictionary([seen(x) for x in parts[q]], size)
 
     model = spark.sparkContext.broadcast(Model(dictionaries))
 
@@ -160,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text by how much better one class's dictionary compresses it.
 
-    Null texts count as empty and are scored; repeated rows are each scored, equal texts equally; a null key is not held
+    The score is a logistic function of normalised differences of compressed sizes and of nothing else. Null texts count as empty and are scored; repeated rows are each scored, equal texts equally; a null key is not held
     out; extra columns are ignored; an empty table gives no rows.
     """
     texts = whole_texts(docs)
@@ -169,5 +187,8 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    """The rows of ``docs`` that the model does not reject, with all their columns.
+
+    Each row is judged by its text alone, null as empty; null keys and repeated rows make no difference.
+    """
     return docs.where(score_of(model)(docs, F.col("text")) >= 0.5)

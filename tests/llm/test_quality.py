@@ -54,3 +54,53 @@ def test_filter_keeps_columns(data):
     docs, labels, _ = data
     kept = quality.keep_good(docs, quality.fit(docs, labels))
     assert kept.columns == docs.columns and 850 < kept.count() < 950
+
+
+def test_scores_against_the_library(data):
+    """Every score from plain calls of the compressor, on null, empty, repeated and very long texts too."""
+    import math
+
+    import zstandard
+
+    docs, labels, _ = data
+    spark = docs.sparkSession
+    model = quality.fit(docs, labels)
+    odd = spark.createDataFrame([(9000, "word and light. " * 300_000, 0.0), (None, None, 0.0), (9001, "\0", 0.0), (9001, "\0", 0.0)], docs.schema)
+    rows = quality.score_quality(docs.unionByName(odd), model).collect()
+    by_key = {r.doc_id: r.score for r in rows}
+    assert len(rows) == 1207 and [r.held_out for r in rows if r.doc_id is None] == [False, False]
+
+    def size(data, name):
+        known = {"dict_data": zstandard.ZstdCompressionDict(model.dictionaries[name])} if name else {}
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False, **known).compress(data))
+
+    for r in docs.where("doc_id % 40 = 0 or doc_id >= 5000").unionByName(odd).collect():
+        if r.doc_id is None:
+            continue
+        z, plain = model.weights[0], (r.text or "").encode()
+        for k, (view, data_) in enumerate((("plain", plain), ("shape", quality.shape(plain)))):
+            n, g, b = size(data_, ""), size(data_, f"{view}-good"), size(data_, f"{view}-bad")
+            size_ = max(1, len(data_))
+            for w, x in zip(model.weights[1 + 5 * k :], (10 * (g - b) / max(g, b), 10 * (g - b) / size_, 4 * (n - min(g, b)) / size_, 4 * (n - g) / n, 4 * (n - b) / n)):
+                z += w * x
+        assert abs(by_key[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-3
+
+
+def test_all_of_the_sample_is_used_and_its_bound_holds(data, monkeypatch):
+    docs, labels, _ = data
+    seen = []
+    monkeypatch.setattr(quality, "dictionary", lambda samples, size: seen.append(samples) or b"x" * 8)
+    quality.fit(docs, labels)
+    assert [len(s) for s in seen[::2]] == [len(s) for s in seen[1::2]] and sum(len(s) for s in seen[::2]) > 350
+    seen.clear()
+    monkeypatch.setattr(quality, "DICTIONARY_BYTES", 20_000)
+    quality.fit(docs, labels)
+    assert all(15_000 < sum(map(len, s)) <= 20_000 for s in seen[::2])
+
+
+def test_held_out_accuracy_of_the_given_table(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.score_quality(docs, quality.fit(docs, labels)).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.predicted == r.quality for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.985 and sum(bad) / len(bad) > 0.93, (sum(good) / len(good), sum(bad) / len(bad))
