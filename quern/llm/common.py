@@ -24,7 +24,7 @@ _scratch: list[list[tuple[SparkSession, str]]] = []
 
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
-    """Tables written in this block, unless to be kept, are deleted at its end; kept ones belong to the block around it."""
+    """Tables written in this block, unless to be kept, are deleted at its end; kept ones belong to a block around it."""
     _scratch.append([])
     try:
         yield
@@ -33,14 +33,14 @@ def scratch() -> Iterator[None]:
             drop_folder(spark, path)
 
 
-def written(df: DataFrame, tag: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "zstd", keep: int = 0) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts the lineage, and survives lost executors.
 
-    Such a table stays until the ``scratch`` block that it is written in ends; to be kept, until the block around that ends.
+    Such a table stays until the ``scratch`` block that it is written in ends, or that many blocks further out.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
-    holders = _scratch[: len(_scratch) - keep]
+    holders = _scratch[: max(0, len(_scratch) - keep)]
     if holders:
         holders[-1].append((spark, path))
     df.write.option("compression", compression).parquet(path)

@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             classes = components(links.unionByName(more))
         named = reps.join(classes, reps.id == classes.node, "left").select("digest", F.coalesce("label", "id").alias("class_id"))
         keyed = sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
-        found = written(keyed, "classes", keep=True)
+        found = written(keyed, "classes", keep=1)
     return found.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 

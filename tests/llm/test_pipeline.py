@@ -3,10 +3,11 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline as cp
-from quern.llm import decontaminate, neardup, pii
+from quern.llm import decontaminate, neardup, pii, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +64,46 @@ def test_quality_stage_keeps_clean_documents(spark, steps):
     kept = set(texts(steps[1]))
     good = [i for i, q in labels.items() if q == 1]
     assert sum(i in kept for i in good) / len(good) > 0.9
+
+
+def _odd(spark, folder, rows):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, class_id string, score double, ids binary"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_run_over_odd_tables(spark, tmp_path):
+    """Null keys and texts, empty and long texts, repeated rows, equal keys with different texts, clashing columns."""
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "c", 0.5, b"x") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    text = "A quiet morning by the river, and the stones were warm. Write to jane [at] example [dot] org about it.\n"
+    odd = [(None, text), (None, None), (90_001, None), (90_002, ""), (90_003, text * 3000), (90_004, text), (90_004, text), (90_005, text + "Other."), (90_005, text)]
+    rows = base + [(k, t, "en", "s", len(t or ""), None, None, None) for k, t in odd]
+    _odd(spark, tmp_path, rows)
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    model = quality.fit(docs, labels)
+    good = [r for r in docs.collect() if quality.scores(model, pd.Series([r.text or ""]))[0] >= 0.5]
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {r.doc_id for r in good} and len([r for r in got if r.doc_id is not None]) == len({r.doc_id for r in got} - {None})
+    assert sum(r.doc_id is None for r in got) == sum(r.doc_id is None for r in good)
+    assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and len(r.ids) == 4 * r.n_tokens for r in got)
+    texts = {r.decoded_sha256 for r in got}
+    assert hashlib.sha256((pii.redact(text)).encode()).hexdigest() in texts and hashlib.sha256(text.encode()).hexdigest() not in texts
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    _odd(spark, tmp_path, [])
+    rows = cp.run(spark, str(tmp_path))
+    assert rows.count() == 0 and "ids_sha256" in rows.columns
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    import os
+
+    from quern.sources.shared import shared_dir
+
+    folder = f"{shared_dir(spark)}/quern".removeprefix("file:")
+    _odd(spark, tmp_path, [(1, "some text here", "en", "s", 1, None, None, None)])
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = cp.run(spark, str(tmp_path))
+    assert len(set(os.listdir(folder)) - before) == 1 and rows.count() == 1

@@ -110,3 +110,12 @@ def test_file_of_equal_keys_null_keys_and_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pfor.ids_file(empty, P.path("byte_bpe_50k.json")).count() == 0
     assert bpe.count_tokens(empty, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_null_and_repeated_keys_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, None), (7, "x"), (7, "x"), (7, "y z")], "doc_id long, text string")
+    counts = sorted((r.doc_id or 0, r.n_tokens) for r in bpe.count_tokens(df, P.path("byte_bpe_50k.json")).collect())
+    ids = sorted((r.doc_id or 0, r.n_tokens) for r in bpe.encode_ids(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect())
+    assert counts == ids == [(0, 0), (0, 2), (7, 1), (7, 1), (7, 2)]
+    empty = df.limit(0)
+    assert bpe.encode_ids(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
