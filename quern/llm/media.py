@@ -139,7 +139,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     Each text becomes a page of its lines followed by a figure whose image names the payload's digest and whose caption
     names the document. Pages are parsed into interleaved sequences, digests are resolved against the store as read back,
     and a row is returned for each document: doc_id, n_bytes, payload and media sizes and digests, tail_crc32, feature,
-    with the media's position, the number of text items before it, and the caption.
+    with the number of the page's text items, the media's position among all items, and its caption. A payload that several
+    documents have is stored with each of them: to store it once, all texts would have to be shuffled.
 
     Null and empty texts are 64 zero bytes; equal texts give equal values; rows with equal keys stay apart; a null key
     stays null; extra columns are ignored.
@@ -150,6 +151,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     page = F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n"), F.lit("</p><p>")), F.lit('</p><figure><img src="sha256:'), F.sha2(payload, 256), F.lit('"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("</figcaption></figure>"))
     pages = texts.select(F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).alias("key"), page.alias("html"))
-    found = resolve(sequences(pages, "key", "html").select("key", F.expr("filter(items, i -> i.kind = 'media')").alias("items")), features(store))
+    # of the sequence's texts only their number goes on: they need no payload, and would be shuffled beside the media
+    parsed = sequences(pages, "key", "html").select(F.struct("key.*", F.expr("size(filter(items, i -> i.kind = 'text'))").cast("long").alias("text_items")).alias("key"), F.expr("filter(items, i -> i.kind = 'media')").alias("items"))
+    found = resolve(parsed, features(store))
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return found.select("key.doc_id", "key.n_bytes", *columns, F.col("position").alias("media_position"), "caption")
+    return found.select("key.doc_id", "key.n_bytes", *columns, "key.text_items", F.col("position").alias("media_position"), "caption")

@@ -16,7 +16,7 @@ WORDS = re.compile(r"\w+").findall
 #: Words of a shingle, and the aligned share of their words from which two texts are near-duplicates.
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a text and shingles in each. Two texts agree on a sketch with a chance of about the share of common shingles to
-#: the power of DRAWS, so on none with one of 1 in 2,700 where a word in 25 differs, and of 1 in 100 where one in 16 does.
+#: the power of DRAWS, so on none with one of 1 in 13,000 where a word in 25 differs, and of 1 in 127 where one in 16 does.
 SKETCHES, DRAWS = 24, 3
 #: Members of a part of a bucket (two parts are compared at once), and labels whose holders are counted together.
 PART, COLUMNS = 512, 4096

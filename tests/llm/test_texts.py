@@ -72,7 +72,8 @@ def test_text_media_against_plain_python(spark):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (crc32(payload[-64:]), len(stored), sha256(stored).hexdigest())
-        assert r.caption == f"document {i}"
+        lines = sum(bool(x.strip()) for x in (t or "").split("\n"))
+        assert r.caption == f"document {i}" and r.text_items == r.media_position == lines
     assert media.text_media(df.limit(0)).count() == 0
 
 
