@@ -82,4 +82,4 @@ def check_ignored(entity: type[Entity], ignore: tuple[str, ...]) -> None:
     names = {c.filter.name for c in entity.columns.values() if c.filter and c.filter.name}
     for n in ignore:
         if n not in names:
-            raise DefinitionError("E091", f"{entity.__name__} has no filter named {n}")
+            raise DefinitionError("no-filter-of-that-name", f"{entity.__name__} has no filter named {n}")

@@ -74,11 +74,11 @@ def check(entity: type[Entity], criteria: tuple[Where, ...]) -> int:
     for w in criteria:
         c = entity.column(w.field)
         if w.json_path is not None and not _JSON_PATH.match(w.json_path):
-            raise DefinitionError("E060", f"{w.json_path} is not a dotted path such as $.a.b")
+            raise DefinitionError("json-path-syntax", f"{w.json_path} is not a dotted path such as $.a.b")
         if w.json_path is not None and c.spark_type != "string":
-            raise DefinitionError("E061", f"{c.name} is no text, so it has no JSON path")
+            raise DefinitionError("json-path-on-no-text", f"{c.name} is no text, so it has no JSON path")
         if w.compare in (Compare.LIKE, Compare.NOT_LIKE) and c.spark_type != "string":
-            raise DefinitionError("E031", f"{c.name} is no text, so it cannot be compared with a pattern")
+            raise DefinitionError("pattern-on-no-text", f"{c.name} is no text, so it cannot be compared with a pattern")
     return sum(w.compare.arguments for w in criteria)
 
 

@@ -24,7 +24,7 @@ def ordering(entity: type[Entity], text: str | None) -> list[tuple[str, bool]]:
         if not words:
             continue
         if len(words) > 2 or (len(words) == 2 and words[1].upper() not in ("ASC", "DESC")):
-            raise DefinitionError("E042", f"{part.strip()} is not a column with ASC or DESC")
+            raise DefinitionError("order-syntax", f"{part.strip()} is not a column with ASC or DESC")
         out.append((entity.column(words[0]).name, len(words) == 2 and words[1].upper() == "DESC"))
     return out
 

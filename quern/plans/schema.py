@@ -40,7 +40,7 @@ def rings(entities: list[type[Entity]]) -> list[set[str]]:
 def ddl(entity: type[Entity], using: str = "parquet") -> str:
     """CREATE TABLE as Spark takes it; keys, references, uniqueness and checks, which it does not enforce, go to properties."""
     if entity.view:
-        raise DefinitionError("E052", f"{entity.__name__} is a view and has no table")
+        raise DefinitionError("view-is-read-only", f"{entity.__name__} is a view and has no table")
     columns = ",\n  ".join(f"`{c.name}` {c.spark_type.upper()}" + ("" if c.nullable and not c.key else " NOT NULL") for c in entity.columns.values())
     noted = {"quern.key": ",".join(k.name for k in entity.keys)}
     for c in entity.columns.values():

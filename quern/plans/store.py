@@ -60,16 +60,16 @@ class Read(Operation):
 
     def define(self, entity):
         if self.lock:
-            raise DefinitionError("E039", f"{self.name}: rows cannot be locked")
+            raise DefinitionError("no-row-locks", f"{self.name}: rows cannot be locked")
         check_ignored(entity, self.ignore)
         if self.projection and self.projection.entity is not entity:
-            raise DefinitionError("E070", f"{self.name}: the projection is of {self.projection.entity.__name__}")
+            raise DefinitionError("projection-of-another", f"{self.name}: the projection is of {self.projection.entity.__name__}")
         self.order = reads.ordering(entity, self.order_by)
         if self.paged and not self.order:
-            raise DefinitionError("E020", f"{self.name}: a page needs an order")
+            raise DefinitionError("page-without-order", f"{self.name}: a page needs an order")
         shown = self.projection.fields if self.projection else entity.columns
         if self.distinct and any(c not in shown for c, _ in self.order):
-            raise DefinitionError("E043", f"{self.name}: distinct rows can only be ordered by what is returned")
+            raise DefinitionError("order-not-shown", f"{self.name}: distinct rows can only be ordered by what is returned")
 
     def active(self, store):
         return active(store.entity, self.include_deleted, self.ignore)
@@ -107,7 +107,7 @@ class SelectAllByField(Read):
         super().define(entity)
         self.fields = [entity.column(f).name for f in self.fields or named_fields(self.name)]
         if not self.fields:
-            raise DefinitionError("E021", f"{self.name}: no fields to select by")
+            raise DefinitionError("no-fields", f"{self.name}: no fields to select by")
 
     def matching(self, store, values):
         return reads.where(store.rows(), self.active(store), reads.equalities(store.entity, self.fields, values))
@@ -125,7 +125,7 @@ class PagedResult(SelectAllByField):
 
     def define(self, entity):
         if self.distinct:
-            raise DefinitionError("E083", f"{self.name}: a total cannot be counted beside distinct rows")
+            raise DefinitionError("total-of-distinct", f"{self.name}: a total cannot be counted beside distinct rows")
         if self.fields:
             super().define(entity)
         else:
@@ -155,7 +155,7 @@ class SelectByPredicate(Read):
     def define(self, entity):
         super().define(entity)
         if self.order or self.paged:
-            raise DefinitionError("E044", f"{self.name}: a predicate select has no order and no pages")
+            raise DefinitionError("order-on-predicate", f"{self.name}: a predicate select has no order and no pages")
         check(entity, self.criteria)
 
     def run(self, store, *args):
@@ -188,7 +188,7 @@ class KeysetPage(Read):
         super().define(entity)
         self.columns = tuple(entity.column(c).name for c in self.columns or [k.name for k in entity.keys])
         if self.include_deleted:
-            raise DefinitionError("E045", f"{self.name}: pages by key hold active rows only")
+            raise DefinitionError("deleted-in-key-pages", f"{self.name}: pages by key hold active rows only")
 
     def _rows(self, store):
         return reads.shown(reads.where(store.rows(), self.active(store)), store.entity, self.projection)
@@ -228,9 +228,9 @@ class Aggregate(Read):
         c = entity.column(self.column)
         self.column = c.name
         if self.function not in aggregates.FUNCTIONS:
-            raise DefinitionError("E028", f"{self.name}: no such aggregate: {self.function}")
+            raise DefinitionError("no-aggregate", f"{self.name}: no such aggregate: {self.function}")
         if self.function in ("sum", "avg") and c.spark_type in ("string", "boolean", "binary", "date") or c.spark_type.startswith("timestamp") and self.function in ("sum", "avg"):
-            raise DefinitionError("E029", f"{self.name}: {self.function} needs numbers")
+            raise DefinitionError("aggregate-of-no-number", f"{self.name}: {self.function} needs numbers")
 
     def run(self, store):
         return aggregates.aggregate(reads.where(store.rows(), self.active(store)), self.function, self.column)
@@ -257,7 +257,7 @@ class FullTextSearch(Read):
     def define(self, entity):
         super().define(entity)
         if not self.columns or any(entity.column(c).spark_type != "string" for c in self.columns):
-            raise DefinitionError("E035", f"{self.name}: text columns are searched")
+            raise DefinitionError("search-in-no-text", f"{self.name}: text columns are searched")
         self.columns = tuple(entity.column(c).name for c in self.columns)
 
     def run(self, store, term: str):
@@ -277,19 +277,19 @@ class SelectAllEager(Read):
     def define(self, entity):
         super().define(entity)
         if self.ignore:
-            raise DefinitionError("E091", f"{self.name}: eager reads bypass no filter")
+            raise DefinitionError("eager-bypass", f"{self.name}: eager reads bypass no filter")
         for n in (*self.names, *self.fields):
             if n not in entity.relations:
-                raise DefinitionError("E040", f"{entity.__name__} has no relation {n}")
+                raise DefinitionError("no-relation", f"{entity.__name__} has no relation {n}")
             for f in self.fields.get(n, ()):
                 entity.relations[n].target.column(f)
             relation = entity.relations[n]
             if not isinstance(relation, BelongsTo) and len(entity.keys) != 1:
-                raise DefinitionError("E012", f"{self.name}: related rows are gathered by one key column")
+                raise DefinitionError("composite-parent-key", f"{self.name}: related rows are gathered by one key column")
             if not isinstance(relation, ManyToMany) and len(relation.target.keys) != 1:
-                raise DefinitionError("E041", f"{self.name}: {n} has a composite key")
+                raise DefinitionError("composite-related-key", f"{self.name}: {n} has a composite key")
             if any(c.filter and c.filter.context_key for e in (entity, relation.target) for c in e.columns.values()):
-                raise DefinitionError("E093", f"{self.name}: eager reads take no filter with a context key")
+                raise DefinitionError("eager-context-filter", f"{self.name}: eager reads take no filter with a context key")
 
     def parents(self, store):
         return reads.where(store.rows(), self.active(store))
@@ -319,7 +319,7 @@ class SelectRelated(Read):
     def define(self, entity):
         super().define(entity)
         if self.relation not in entity.relations:
-            raise DefinitionError("E040", f"{entity.__name__} has no relation {self.relation}")
+            raise DefinitionError("no-relation", f"{entity.__name__} has no relation {self.relation}")
 
     def run(self, store, *key):
         parents = reads.where(store.rows(), self.active(store), reads.key_condition(store.entity, key))
@@ -386,7 +386,7 @@ class UpdateAll(Write):
 
     def define(self, entity):
         if any(c.token for c in entity.columns.values()):
-            raise DefinitionError("E022", f"{self.name}: rows with a token are updated one by one")
+            raise DefinitionError("batch-with-token", f"{self.name}: rows with a token are updated one by one")
 
     def run(self, store, rows) -> int:
         entity = store.entity
@@ -405,11 +405,11 @@ class UpdateWhere(Write):
 
     def define(self, entity):
         if not self.criteria:
-            raise DefinitionError("E023", f"{self.name}: an update needs a criterion")
+            raise DefinitionError("no-criterion", f"{self.name}: an update needs a criterion")
         self.columns = tuple(entity.column(c).name for c in self.columns)
         for c in self.columns:
             if not entity.columns[c].updatable or entity.columns[c].soft_delete:
-                raise DefinitionError("E027", f"{self.name}: {c} cannot be set")
+                raise DefinitionError("column-not-settable", f"{self.name}: {c} cannot be set")
         check(entity, self.criteria)
 
     def run(self, store, *args) -> int:
@@ -428,9 +428,9 @@ class Upsert(Write):
 
     def define(self, entity):
         if any(c.token for c in entity.columns.values()):
-            raise DefinitionError("E006", f"{self.name}: rows with a token are not upserted")
+            raise DefinitionError("upsert-with-token", f"{self.name}: rows with a token are not upserted")
         if any(c.filter and c.filter.enforce_on_writes for c in entity.columns.values()):
-            raise DefinitionError("E095", f"{self.name}: a filter enforced on writes forbids upserts")
+            raise DefinitionError("upsert-past-filter", f"{self.name}: a filter enforced on writes forbids upserts")
 
     def run(self, store, rows=None, **values) -> int:
         entity = store.entity
@@ -475,7 +475,7 @@ class DeleteAll(Write):
 
     def define(self, entity):
         if len(entity.keys) != 1:
-            raise DefinitionError("E024", f"{self.name}: keys are listed by one column")
+            raise DefinitionError("list-of-composite-keys", f"{self.name}: keys are listed by one column")
 
     def run(self, store, keys) -> int:
         entity = store.entity
@@ -492,7 +492,7 @@ class DeleteWhere(Write):
 
     def define(self, entity):
         if not self.criteria:
-            raise DefinitionError("E023", f"{self.name}: a deletion needs a criterion")
+            raise DefinitionError("no-criterion", f"{self.name}: a deletion needs a criterion")
         check(entity, self.criteria)
 
     def run(self, store, *args) -> int:
@@ -507,7 +507,7 @@ class Restore(Write):
 
     def define(self, entity):
         if not any(c.soft_delete for c in entity.columns.values()):
-            raise DefinitionError("E026", f"{self.name}: only softly deleted rows can be restored")
+            raise DefinitionError("nothing-to-restore", f"{self.name}: only softly deleted rows can be restored")
 
     def run(self, store, *key) -> bool:
         entity = store.entity
@@ -527,7 +527,7 @@ class Execute(Write):
     def define(self, entity):
         for c in self.sets:
             if entity.column(c).computed or entity.column(c).key:
-                raise DefinitionError("E027", f"{self.name}: {c} cannot be set")
+                raise DefinitionError("column-not-settable", f"{self.name}: {c} cannot be set")
 
     def run(self, store, **parameters) -> int:
         entity = store.entity
@@ -557,14 +557,14 @@ class Store:
     def __init_subclass__(cls, entity: type[Entity] | None = None, **kwargs):
         super().__init_subclass__(**kwargs)
         if entity is None:
-            raise DefinitionError("E007", f"{cls.__name__} needs an entity")
+            raise DefinitionError("no-entity", f"{cls.__name__} needs an entity")
         cls.entity = entity
         cls.operations = {n: o for n, o in vars(cls).items() if isinstance(o, Operation)}
         for o in cls.operations.values():
             if entity.view and o.writes:
-                raise DefinitionError("E052", f"{o.name}: a view is only read")
+                raise DefinitionError("view-is-read-only", f"{o.name}: a view is only read")
             if o.keyed and not entity.keys:
-                raise DefinitionError("E053", f"{o.name}: {entity.__name__} has no key")
+                raise DefinitionError("no-key-to-find-by", f"{o.name}: {entity.__name__} has no key")
             o.define(entity)
 
     def __init__(self, tables, options: Options | None = None, hooks: Hooks | None = None):

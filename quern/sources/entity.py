@@ -180,25 +180,25 @@ class Entity:
             raise DefinitionError(code, f"{cls.__name__}: {message}")
 
         if not cls.view and not cls.keys:
-            refuse("E001", "a table needs a key")
+            refuse("no-key", "a table needs a key")
         if len(cls.keys) > 1 and any(c.generated for c in cls.keys):
-            refuse("E011", "a composite key cannot be generated")
+            refuse("generated-composite-key", "a composite key cannot be generated")
         if len({n.lower() for n in cls.columns}) < len(cls.columns):
-            refuse("E004", "two columns have the same name")
+            refuse("same-column-name", "two columns have the same name")
         for c in cls.columns.values():
             if c.spark_type not in TYPES.values() and not _NESTED.fullmatch(c.spark_type):
-                refuse("E003", f"{c.name} has no such type: {c.type}")
+                refuse("no-type", f"{c.name} has no such type: {c.type}")
             if c.generated and c.spark_type not in INTEGERS:
-                refuse("E030", f"{c.name} is generated and must be an integer")
+                refuse("generated-key-type", f"{c.name} is generated and must be an integer")
             if c.soft_delete and not (c.spark_type == "boolean" or (c.spark_type.startswith("timestamp") and c.nullable)):
-                refuse("E025", f"{c.name} marks deletion and must be a boolean or a nullable time")
+                refuse("deletion-mark-type", f"{c.name} marks deletion and must be a boolean or a nullable time")
             if c.audit and c.audit not in AUDIT:
-                refuse("E050", f"{c.name} has no such audit role: {c.audit}")
+                refuse("no-audit-role", f"{c.name} has no such audit role: {c.audit}")
             if c.filter and c.filter.context_key is None and c.spark_type != "boolean":
-                refuse("E092", f"{c.name} is filtered by a constant and must be a boolean")
+                refuse("constant-filter-type", f"{c.name} is filtered by a constant and must be a boolean")
         for role in ("soft_delete", "token"):
             if sum(bool(getattr(c, role)) for c in cls.columns.values()) > 1:
-                refuse("E005", f"more than one {role} column")
+                refuse("role-twice", f"more than one {role} column")
 
     @classmethod
     def column(cls, name: str) -> Column:
@@ -206,7 +206,7 @@ class Entity:
         for c in cls.columns.values():
             if name.lower() in (c.name.lower(), c.attribute.lower()):
                 return c
-        raise DefinitionError("E002", f"{cls.__name__} has no column {name}")
+        raise DefinitionError("no-column", f"{cls.__name__} has no column {name}")
 
 
 class Projection:

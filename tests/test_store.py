@@ -226,11 +226,11 @@ def test_filters_and_scopes(tables):
 @pytest.mark.parametrize(
     "entity, operation, code",
     [
-        (Product, lambda: SelectAll(paged=True), "E020"), (Product, lambda: SelectAll(order_by="id UP"), "E042"), (Product, lambda: SelectAll(order_by="no"), "E002"), (Product, lambda: SelectAll(lock="update"), "E039"),
-        (Product, lambda: SelectAll(ignore_filters=("x",)), "E091"), (Product, lambda: SelectByPredicate(Where("price", Compare.LIKE)), "E031"), (Product, lambda: SelectByPredicate(Where("data", json_path="a.b")), "E060"),
-        (Product, lambda: Aggregate("sum", "name"), "E029"), (Product, lambda: FullTextSearch("price"), "E035"), (Product, lambda: SelectAllEager("no"), "E040"), (Doc, lambda: Upsert(), "E095"), (Category, lambda: Restore(), "E026"),
-        (Product, lambda: UpdateWhere(("id",), Where("name")), "E027"), (Product, lambda: UpdateWhere(("name",)), "E023"), (Product, lambda: DeleteWhere(), "E023"), (CategoryView, lambda: Insert(), "E052"), (CategoryView, lambda: SelectOneByKey(), "E053"),
-        (Product, lambda: PagedResult("name", order_by="id", distinct=True), "E083"), (Product, lambda: SelectAllByField(), "E021"),
+        (Product, lambda: SelectAll(paged=True), "page-without-order"), (Product, lambda: SelectAll(order_by="id UP"), "order-syntax"), (Product, lambda: SelectAll(order_by="no"), "no-column"), (Product, lambda: SelectAll(lock="update"), "no-row-locks"),
+        (Product, lambda: SelectAll(ignore_filters=("x",)), "no-filter-of-that-name"), (Product, lambda: SelectByPredicate(Where("price", Compare.LIKE)), "pattern-on-no-text"), (Product, lambda: SelectByPredicate(Where("data", json_path="a.b")), "json-path-syntax"),
+        (Product, lambda: Aggregate("sum", "name"), "aggregate-of-no-number"), (Product, lambda: FullTextSearch("price"), "search-in-no-text"), (Product, lambda: SelectAllEager("no"), "no-relation"), (Doc, lambda: Upsert(), "upsert-past-filter"), (Category, lambda: Restore(), "nothing-to-restore"),
+        (Product, lambda: UpdateWhere(("id",), Where("name")), "column-not-settable"), (Product, lambda: UpdateWhere(("name",)), "no-criterion"), (Product, lambda: DeleteWhere(), "no-criterion"), (CategoryView, lambda: Insert(), "view-is-read-only"), (CategoryView, lambda: SelectOneByKey(), "no-key-to-find-by"),
+        (Product, lambda: PagedResult("name", order_by="id", distinct=True), "total-of-distinct"), (Product, lambda: SelectAllByField(), "no-fields"),
     ],
 )
 def test_wrong_stores_are_refused_when_defined(entity, operation, code):
@@ -240,7 +240,7 @@ def test_wrong_stores_are_refused_when_defined(entity, operation, code):
 
 
 def test_wrong_entities_are_refused():
-    for code, columns in {"E003": {"a": Column("nothing", key=True)}, "E001": {"a": Column("int")}, "E030": {"a": Column("string", key=True, generated=True)}, "E025": {"a": Column("int", key=True), "b": Column("int", soft_delete=True)}, "E005": {"a": Column("int", key=True), "b": Column("int", token=True), "c": Column("int", token=True)}}.items():
+    for code, columns in {"no-type": {"a": Column("nothing", key=True)}, "no-key": {"a": Column("int")}, "generated-key-type": {"a": Column("string", key=True, generated=True)}, "deletion-mark-type": {"a": Column("int", key=True), "b": Column("int", soft_delete=True)}, "role-twice": {"a": Column("int", key=True), "b": Column("int", token=True), "c": Column("int", token=True)}}.items():
         with pytest.raises(DefinitionError) as e:
             type("Bad", (Entity,), columns)
         assert e.value.code == code

@@ -121,6 +121,10 @@ class OwnedStore(Store, entity=Owned):
     restore = Restore()
 
 
+class OwnedSeeds(Store, entity=Owned):
+    add_all = InsertAll()
+
+
 class GuidStore(Store, entity=Guided):
     add_all = InsertAll()
 
@@ -288,3 +292,25 @@ def test_times_are_taken_as_written(spark, tables, monkeypatch):
         assert spark.range(1).select(literal(datetime(2024, 1, 2, 3), "timestamp_ntz").alias("t")).first().t == datetime(2024, 1, 2, 3)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_seeders_run_in_order_and_add_what_is_missing(items, tables):
+    from quern.plans.seeding import Seeders, seed
+
+    seeders = Seeders()
+
+    @seeders.register(order=2)
+    def later(t):
+        seed(OwnedSeeds(t), [{"id": 9, "title": "nine"}])
+
+    @seeders.register(order=1)
+    def first(t):
+        seed(OwnedSeeds(t), t.spark.createDataFrame([(1, "kept"), (8, "eight")], "id int, title string"))
+
+    @seeders.register(order=1)
+    def also(t):
+        assert seed(OwnedSeeds(t), [{"id": 8, "title": "again"}]) == 0
+
+    for _ in range(2):
+        assert seeders.run(tables) == ["first", "also", "later"]
+    assert [(r.id, r.title) for r in tables.frame(Owned).orderBy("id").collect()] == [(1, "t"), (2, "t"), (3, "t"), (8, "eight"), (9, "nine")]
