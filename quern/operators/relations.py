@@ -41,15 +41,20 @@ def junction_rows(frames: Frames, parents: DataFrame, parent: type[Entity], rela
     return links.join(kept, kept.columns, "left_semi")
 
 
-def _links(frames: Frames, parents: DataFrame, parent: type[Entity], relation: ManyToMany) -> DataFrame:
+def _links(frames: Frames, parents: DataFrame | None, parent: type[Entity], relation: ManyToMany) -> DataFrame:
     junction, parent_key, child_keys = relation.through(parent)
     rows = active_rows(frames, junction).select(F.col(parent_key).alias("__parent"), *[F.col(c).alias(f"__child_{i}") for i, c in enumerate(child_keys)])
+    if parents is None:
+        return rows
     keys = parents.select(F.col(parent.keys[0].name).alias("__parent"))
     return rows.join(keys, "__parent", "left_semi")
 
 
-def linked_rows(frames: Frames, parents: DataFrame, parent: type[Entity], relation: ManyToMany) -> DataFrame:
-    """__parent and the child's columns: one row for each junction row, so repeated junction rows repeat the child."""
+def linked_rows(frames: Frames, parents: DataFrame | None, parent: type[Entity], relation: ManyToMany) -> DataFrame:
+    """__parent and the child's columns: one row for each junction row, so repeated junction rows repeat the child.
+
+    ``parents`` restricts the links before they are joined; None takes all, for those who join the parents afterwards.
+    """
     links = _links(frames, parents, parent, relation)
     target = relation.target
     child = active_rows(frames, target)
@@ -57,12 +62,12 @@ def linked_rows(frames: Frames, parents: DataFrame, parent: type[Entity], relati
     return child.join(links, on).select("__parent", *[child[c] for c in target.columns])
 
 
-def related_rows(frames: Frames, parents: DataFrame, parent: type[Entity], name: str) -> DataFrame:
-    """__parent and the related entity's columns, for a collection relation."""
+def related_rows(frames: Frames, parents: DataFrame | None, parent: type[Entity], name: str) -> DataFrame:
+    """__parent and the related entity's columns, for a collection relation; ``parents`` as in ``linked_rows``."""
     relation = parent.relations[name]
     if isinstance(relation, ManyToMany):
         return linked_rows(frames, parents, parent, relation)
-    rows = children_of(frames, parents, parent, relation)
+    rows = active_rows(frames, relation.target) if parents is None else children_of(frames, parents, parent, relation)
     return rows.select(F.col(relation.foreign_key).alias("__parent"), *relation.target.columns)
 
 
@@ -84,13 +89,15 @@ def flat(frames: Frames, parents: DataFrame, parent: type[Entity], name: str, fi
     if isinstance(relation, BelongsTo):
         rows = active_rows(frames, target).select(*columns)
         return parents.join(rows, F.col(relation.foreign_key) == F.col(f"{name}_{target.keys[0].name}"), "left")
-    rows = related_rows(frames, parents, parent, name).select("__parent", *columns)
+    rows = related_rows(frames, None, parent, name).select("__parent", *columns)
     return parents.join(rows, F.col(parent.keys[0].name) == F.col("__parent"), "left").drop("__parent")
 
 
-def eager(frames: Frames, parents: DataFrame, parent: type[Entity], names: tuple[str, ...], fields: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def eager(frames: Frames, parents: DataFrame, parent: type[Entity], names: tuple[str, ...], fields: dict[str, tuple[str, ...]] | None = None, few: bool = False) -> DataFrame:
     """Parents with a column for each relation: a list of structs by the related key, or one struct, or null.
 
+    ``few`` says that the parents are a small part of their table, so that related rows are worth restricting to theirs first.
+
     Children are gathered by their parent's key after they are filtered, and with the ``fields`` of their relation only, so
     nothing else is shuffled; a parent without any has an empty list. A list lies in one row: where a parent may have more
     children than a row should hold, ``flat`` is the form to take.
@@ -104,7 +111,7 @@ def eager(frames: Frames, parents: DataFrame, parent: type[Entity], names: tuple
             rows = active_rows(frames, relation.target).select(F.col(key).alias("__key"), F.struct(*columns).alias(name))
             out = out.join(rows, out[relation.foreign_key] == rows["__key"], "left").drop("__key")
         else:
-            rows = related_rows(frames, parents, parent, name).groupBy("__parent").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+            rows = related_rows(frames, parents if few else None, parent, name).where("__parent is not null").groupBy("__parent").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
             out = out.join(rows, out[parent.keys[0].name] == rows["__parent"], "left").drop("__parent")
             out = out.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
     return out

@@ -306,7 +306,7 @@ class SelectOneEager(SelectAllEager):
 
     def run(self, store, *key):
         one = reads.where(self.parents(store), reads.key_condition(store.entity, key)).limit(1)
-        return relations.eager(store.tables.frame, one, store.entity, self.names, self.fields)
+        return relations.eager(store.tables.frame, one, store.entity, self.names, self.fields, few=True)
 
 
 class SelectRelated(Read):
