@@ -6,11 +6,17 @@ import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import DataFrame
 
 
 @dataclass
 class Event:
-    """An operation of a store; ``stage`` is initialized, executing, executed or failed."""
+    """An operation of a store; ``stage`` is initialized, executing, executed or failed.
+
+    An executed read has its frame as ``result``, so a listener can look at its plan; ``plan`` is that as text.
+    """
 
     stage: str
     store: str
@@ -18,6 +24,11 @@ class Event:
     arguments: tuple
     seconds: float = 0.0
     error: BaseException | None = None
+    result: Any = None
+
+    @property
+    def plan(self) -> str | None:
+        return self.result._jdf.queryExecution().toString() if isinstance(self.result, DataFrame) else None
 
 
 @dataclass
@@ -31,8 +42,8 @@ class Hooks:
             return work()
         began = time.monotonic()
 
-        def tell(stage: str, error: BaseException | None = None, back: bool = False):
-            event = Event(stage, store, operation, arguments, time.monotonic() - began, error)
+        def tell(stage: str, error: BaseException | None = None, back: bool = False, result: Any = None):
+            event = Event(stage, store, operation, arguments, time.monotonic() - began, error, result)
             for listener in reversed(self.listeners) if back else self.listeners:
                 listener(event)
 
@@ -43,7 +54,7 @@ class Hooks:
         except BaseException as error:
             tell("failed", error, back=True)
             raise
-        tell("executed", back=True)
+        tell("executed", back=True, result=result)
         return result
 
 

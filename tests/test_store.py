@@ -290,4 +290,5 @@ def test_hooks_and_streams(tables):
         products.between(1)
     assert events == ["initialized", "executing", "executed"] * 2 + ["initialized", "executing", "failed"]
     assert repeated.suspects == [("Products", "by_key")] and len(slow.found) == 3
+    assert "id#" in slow.found[0].plan and slow.found[0].result.count() == 1 and slow.found[2].plan is None
     assert [r.id for r in stream_rows(products.all())] == [1, 2, 3, 4]
