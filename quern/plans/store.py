@@ -625,7 +625,9 @@ class Store:
     def insert_frame(self, given: DataFrame, returning: bool = False):
         entity = self.entity
         full = writes.stamped(entity, given, self.now(), self.options.user, True)
-        found = self.changeable().append(entity, full, lambda rows: writes.new_keys(entity, self.rows(), rows), returning)
+        # keys that are all made are new ones, so the table's need not be read
+        made = all((k.generated or k.sequential_guid) and k.name not in given.columns for k in entity.keys)
+        found = self.changeable().append(entity, full, lambda rows: None if made else writes.new_keys(entity, self.rows(), rows), returning)
         if not returning or found is None:
             return found
         return reads.shown(self.spark.createDataFrame([found], full.schema), entity, None).first()

@@ -25,8 +25,9 @@ class StateTables:
 
     Without a folder a change is a plan over the state before it, and the number of touched rows a job of its own. With one,
     each change writes ``folder/<table>/<number>``, reading the state before it once: touched rows are counted on the way. The
-    highest finished number is the current state; inserts add files to it and copy nothing. Older states stay until they are
-    deleted by hand. A change that touches no row changes nothing. One writer at a time.
+    highest finished number is the current state; inserts add files to it and copy nothing (the first change of a table that
+    ``source`` has writes it whole). Older states stay until they are deleted by hand. A change that touches no row changes
+    nothing. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, source=None, folder: str | None = None):
@@ -61,11 +62,12 @@ class StateTables:
         """Make the table from ``rows``, in place of what it held."""
         rows = _typed(entity, rows)
         if self.folder:
-            rows.write.parquet(self._next(entity))
+            rows.write.mode("overwrite").parquet(self._next(entity))
         else:
             self._plans[entity.table] = rows
 
     def _next(self, entity: type[Entity]) -> str:
+        """Where the next state goes; what a failed write has left there is overwritten."""
         return f"{self.folder}/{entity.table}/{max(self._numbers(entity), default=0) + 1:09d}"
 
     # changes
@@ -98,7 +100,7 @@ class StateTables:
             if path:
                 kept.write.mode("append").parquet(path)
             else:
-                _typed(entity, state).unionByName(kept).write.parquet(self._next(entity))
+                _typed(entity, state).unionByName(kept).write.mode("overwrite").parquet(self._next(entity))
             return kept.first() if returning else seen.get["n"]
         finally:
             drop_folder(self.spark, aside)
@@ -121,7 +123,7 @@ class StateTables:
                 self._plans[entity.table] = _typed(entity, finish(marked))
             return n
         seen, path = Observation(), self._next(entity)
-        _typed(entity, finish(marked.observe(seen, touched))).write.parquet(path)
+        _typed(entity, finish(marked.observe(seen, touched))).write.mode("overwrite").parquet(path)
         n = seen.get["n"]
         if not n:
             drop_folder(self.spark, path)
