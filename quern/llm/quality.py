@@ -17,9 +17,9 @@ from .bpe import once
 from .common import whole_texts
 
 #: Bounds of what is learnt from. Dictionaries: labelled rows of each class, those with the lowest hash of their key, whole,
-#: as long as their bytes together stay within the second number (rows of more than a sixteenth of that are passed over).
+#: as long as their bytes together stay within the second number (rows of more bytes than the third are passed over).
 #: Calibration: labelled rows, other ones.
-DICTIONARY_ROWS, DICTIONARY_BYTES, CALIBRATION_ROWS = 1500, 1 << 22, 6000
+DICTIONARY_ROWS, DICTIONARY_BYTES, ROW_BYTES, CALIBRATION_ROWS = 3000, 1 << 23, 1 << 14, 6000
 #: Bytes of a dictionary of plain text, and of one of the text's shape.
 PLAIN_BYTES, SHAPE_BYTES = 1 << 18, 1 << 16
 LEVEL = 3
@@ -61,14 +61,16 @@ class Sizes:
             self.packers[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=False, write_content_size=False)
 
     def features(self, text: str) -> list[float]:
-        """Differences of compressed sizes, each normalised: of good and bad, and what a dictionary saves."""
+        """Differences of sizes, each normalised: of good and bad, what a dictionary saves, and what compression saves without one."""
         plain = text.encode("utf-8")
         out = [1.0]
         for view, (seen, _) in VIEWS.items():
             data = seen(plain)
             none, good, bad = (len(self.packers[p].compress(data)) for p in ("", f"{view}-good", f"{view}-bad"))
             size = max(1, len(data))
+            saved = (size - none) / size
             out += [10 * (good - bad) / max(good, bad), 10 * (good - bad) / size, 4 * (none - min(good, bad)) / size, 4 * (none - good) / none, 4 * (none - bad) / none]
+            out += [4 * saved, 16 * saved * saved]
         return out
 
 
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = F.broadcast(picked[0].union(picked[1]))
     # the lowest of a key's several texts counts; the running sums go over DICTIONARY_ROWS rows of a class at most
     lent = texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("q"), F.min("h").alias("h"), F.min("text").alias("x"))
-    lent = lent.withColumn("n", F.octet_length("x")).where(F.col("n") <= DICTIONARY_BYTES // 16)
+    lent = lent.withColumn("n", F.octet_length("x")).where(F.col("n") <= ROW_BYTES)
     so_far = F.sum("n").over(Window.partitionBy("q").orderBy("h", "doc_id"))
     rows = lent.withColumn("sum", so_far).where(F.col("sum") <= DICTIONARY_BYTES).select("q", "h", "x").orderBy("h").collect()
     parts = {q: [r.x.encode("utf-8") for r in rows if r.q == q] for q in (0, 1)}

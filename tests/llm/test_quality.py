@@ -81,7 +81,8 @@ def test_scores_against_the_library(data):
         for k, (view, data_) in enumerate((("plain", plain), ("shape", quality.shape(plain)))):
             n, g, b = size(data_, ""), size(data_, f"{view}-good"), size(data_, f"{view}-bad")
             size_ = max(1, len(data_))
-            for w, x in zip(model.weights[1 + 5 * k :], (10 * (g - b) / max(g, b), 10 * (g - b) / size_, 4 * (n - min(g, b)) / size_, 4 * (n - g) / n, 4 * (n - b) / n)):
+            saved = (size_ - n) / size_
+            for w, x in zip(model.weights[1 + 7 * k :], (10 * (g - b) / max(g, b), 10 * (g - b) / size_, 4 * (n - min(g, b)) / size_, 4 * (n - g) / n, 4 * (n - b) / n, 4 * saved, 16 * saved * saved)):
                 z += w * x
         assert abs(by_key[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-3
 
@@ -103,4 +104,4 @@ def test_held_out_accuracy_of_the_given_table(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rows = quality.score_quality(docs, quality.fit(docs, labels)).where("held_out").join(labels, "doc_id").collect()
     good, bad = ([r.predicted == r.quality for r in rows if r.quality == q] for q in (1, 0))
-    assert sum(good) / len(good) > 0.985 and sum(bad) / len(bad) > 0.93, (sum(good) / len(good), sum(bad) / len(bad))
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) > 0.96, (sum(good) / len(good), sum(bad) / len(bad))
