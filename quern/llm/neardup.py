@@ -103,16 +103,23 @@ def aligned_share(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float
     if not n or not m or min(n, m) < least * max(n, m):
         return 0.0
     band = int((n + m) * (1 - 2 * least / (1 + least))) + 1
+    # words that both begin or end with are paired in some best alignment
+    short = min(n, m)
+    other = np.flatnonzero(a[:short] != b[:short])
+    lead = int(other[0]) if len(other) else short
+    other = np.flatnonzero(a[n - short + lead :] != b[m - short + lead :])
+    tail = short - lead - 1 - int(other[-1]) if len(other) else short - lead
+    a, b = a[lead : n - tail], b[lead : m - tail]
     places: dict[int, int] = {}
     for j, word in enumerate(b.tolist()):
         places[word] = places.get(word, 0) | 1 << j
-    whole, window = (1 << m) - 1, (1 << 2 * band + 1) - 1
+    whole, window = (1 << len(b)) - 1, (1 << 2 * band + 1) - 1
     row = whole
     for i, word in enumerate(a.tolist()):
         if word in places:
             met = row & places[word] & (window << i - band if i > band else window >> band - i)
             row = (row + met | row - met) & whole
-    paired = m - row.bit_count()
+    paired = lead + tail + len(b) - row.bit_count()
     return paired / (n + m - paired)
 
 
