@@ -547,7 +547,7 @@ def upsert_generated(spark, d):
     """Keys are made for rows without one, in order where the batch is one file; rows with one replace theirs."""
     notes = Notes(_kept(spark))
     notes.tables.create(Note, spark.createDataFrame([], "note_id long, title string"))
-    notes.add_all(ParquetTables(spark, d).frame(Nation).orderBy("n_nationkey").coalesce(1).select(F.col("n_name").alias("title")))
+    notes.add_all(ParquetTables(spark, d).frame(Nation).repartition(1).sortWithinPartitions("n_nationkey").select(F.col("n_name").alias("title")))
     notes.put([{"note_id": 5, "title": "changed"}, {"title": "added"}])
     return notes.rows()
 
